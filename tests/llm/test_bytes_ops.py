@@ -1,0 +1,110 @@
+"""Operators on whole texts, against plain versions."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quirelint.llm import bpe, media_ts, secrets_scan, shards
+
+DOCS = [(0, "hello  world \n\n x's"), (1, None), (2, ""), (3, "é" * 700), (4, "abc  12 \t\n" * 200), (5, "a" * 3000), (6, "abc  12 \t\n" * 200), (6, "abc  12 \t\n" * 200), (7, " " * 2000 + "x"), (None, "no id")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, i, "x") for i, t in DOCS], "doc_id long, text string, ids long, media string")
+
+
+def test_bpe_chunks_equal_whole(docs):
+    path, pattern = bpe.public_vocabulary()
+    got = sorted((str(r.doc_id), r.ids, r.bytes) for r in bpe.decode(bpe.encode(docs, path, pattern, chunk=256, overlap=32), path, pattern).collect())
+    enc = bpe.encoding(path, pattern)
+    want = sorted((str(i), np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in DOCS)
+    assert got == want
+
+
+def test_bpe_empty(docs):
+    path, pattern = bpe.public_vocabulary()
+    assert bpe.encode(docs.where("false"), path, pattern).count() == 0
+
+
+def test_stream_round_trip(docs):
+    rows = media_ts.load(media_ts.store(docs)).collect()
+    assert len(rows) == len(DOCS)
+    by = {(r.doc_id, r.payload) for r in rows}
+    assert by == {(i, media_ts.pad((t or "").encode())) for i, t in DOCS}
+    assert all(r.cc_errors == r.crc_errors == r.sync_losses == r.short_units == 0 and len(r.media) % 188 == 0 for r in rows)
+    assert all(r.pts == [3600 * k for k in range(r.n_units)] for r in rows)
+
+
+def test_stream_faults():
+    whole = media_ts.write_stream(media_ts.pad(b"z" * 40_000))
+    at = 188 * 10
+    lost = media_ts.read_stream(whole[:at] + whole[at + 188 :])
+    assert lost["cc_errors"] == 1 and lost["short_units"] == 1
+    twice = media_ts.read_stream(whole[: at + 188] + whole[at : at + 188] + whole[at + 188 :])
+    assert twice["repeats"] == 1 and twice["cc_errors"] == 0 and b"".join(u[5] for u in twice["units"]) == media_ts.pad(b"z" * 40_000)
+    broken = bytearray(whole)
+    broken[20] ^= 1
+    assert media_ts.read_stream(bytes(broken))["crc_errors"] == 1
+    assert media_ts.read_stream(b"junk" + whole)["sync_losses"] == 1
+    assert media_ts.read_stream(whole)["units"][8][3] and not media_ts.read_stream(whole)["units"][7][3]
+
+
+def test_secrets():
+    der = bytes.fromhex("3082" + "001e")  # length of 30 in the long form isn't DER
+    assert secrets_scan.key_kind(der + bytes(30)) is None
+    inner = b"\x02\x01\x00" + b"\x02\x14" + bytes(range(1, 21)) + b"\x30\x03\x02\x01\x05"
+    key = b"\x30" + bytes([len(inner)]) + inner
+    assert secrets_scan.key_kind(key) == "der" and secrets_scan.key_kind(key[:-1]) is None
+    import base64
+    import json
+
+    b = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    jwt = f"{b({'alg': 'HS256', 'typ': 'JWT'})}.{b({'sub': 1})}.c2lnbmF0dXJl"
+    text = f"é PassWord = 'abc123' token:x AKIA{'A1' * 8} {'0f' * 12} {jwt} {key.hex()} {base64.b64encode(key * 1).decode()}"
+    base = secrets_scan.base_spans(text)
+    assert [(k, text[a:b]) for k, a, b in base] == [("assign", "PassWord = 'abc123"), ("access", "AKIA" + "A1" * 8), ("hex", "0f" * 12), ("hex", key.hex())]
+    more = secrets_scan.confirmed_spans(text)
+    assert {(k, text[a:b]) for k, a, b in more} >= {("jwt", jwt), ("der", key.hex())}
+    assert not secrets_scan.confirmed_spans("eyJub3Qi.eyJub3Qi.x " + "M" * 60)
+    pem = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(key).decode()}\n-----END PRIVATE KEY-----"
+    assert ("pem", 3, 3 + len(pem)) in secrets_scan.confirmed_spans("a: " + pem)
+
+
+def test_secret_rows(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdef", 0), (2, None, 0), (2, None, 0), (3, "plain", 1)], "doc_id long, text string, spans int")
+    got = {(r.doc_id, r.n_assign, r.base_sha256, r.spans) for r in secrets_scan.scan(docs).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {(1, 1, hashlib.sha256(b"assign:0:13").hexdigest(), "assign:0:13"), (2, 0, none, ""), (3, 0, none, "")}
+    assert [r.text for r in secrets_scan.redact(docs).orderBy("doc_id").collect()] == ["[secret]", None, None, "plain"]
+    assert secrets_scan.scan(docs.where("false")).count() == 0
+
+
+def test_shards(spark):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(900)] + [(i, "hot") for i in range(2000, 2400)] + [(None, None), (5, "twice"), (5, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shards.assign(docs).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    sums, slots, homes = {}, {}, {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert all(len(x) == 1 for x in homes.values()) and set(sums) == set(range(16))
+    assert max(sums.values()) - min(sums.values()) <= 400
+    assert shards.assign(docs.where("false")).count() == 0
+
+
+def test_differencing():
+    import random
+
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 1000) for _ in range(500)]
+    part = shards.differencing(sizes, 4)
+    sums = [sum(s for s, p in zip(sizes, part, strict=True) if p == k) for k in range(4)]
+    assert max(sums) - min(sums) <= 2
+    assert shards.differencing([], 4) == [] and shards.differencing([5], 4) == [0]
