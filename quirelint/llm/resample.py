@@ -1,14 +1,15 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (single words and punctuation runs, pairs of them, and
+Two generative models over hashed n-grams (single words and punctuation runs, pairs of neighbouring words, and
 one bucket for runs of four equal tokens) give the chance that a document holds a bucket: the raw
-one from all documents, the target one from labelled documents that are good and not toxic. Both
-are smoothed by ``PRIOR`` documents at the target's size, so buckets too rare to tell weigh
-nothing. A document's log weight is the sum of its buckets' log ratios below ``-MARGIN`` (each
-moved up by it): plain text weighs 0, whatever its length, and what the target lacks counts
+one from all documents, the target one from labelled documents that are good and not toxic. A bucket
+counts if the target holds it under a ``LACK``-th as often as the raw text's rate lets expect, and significantly so (the
+chance is below exp(-``EVIDENCE``) by Chernoff's bound); its log ratio is smoothed by one document. A document's log weight is the
+sum over its buckets: plain text weighs 0, whatever its length, and what the target lacks counts
 against it. Documents are sampled without replacement by Gumbel top-k: the k greatest of
 log weight * ``SHARPNESS`` + noise, the noise a function of id and text. k is the number of documents whose
-log weight passes the cut that parts the labelled ones best.
+log weight passes the cut that parts the labelled ones best, a good one lost weighing as much as ``KEEP`` others kept
+(in shares).
 
 At most ``LABELS`` labelled documents are used (those of smallest hash, spread over the corpus);
 counts, weights and the sample cover all documents. Null texts count as empty and weigh 0;
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PUNCT, arrow_map, as_long, checkpoint, mix, slices, table, type_of, windows
 
-BITS, LABELS, PRIOR, MARGIN, SHARPNESS, RUN = 17, 20_000, 2.0, 1.0, 10.0, 4
-BUCKETS = (2 << BITS) + 1
+ONES, TWOS, LABELS, EVIDENCE, LACK, KEEP, SHARPNESS, RUN = 1 << 18, 1 << 17, 20_000, 8.5, 4, 10, 10.0, 4
+BUCKETS = ONES + TWOS + 1
 
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,15 +35,16 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts, ends, first = WORD_PUNCT.cut(data, offs)
     hashes = WORD_PUNCT.hashes(data, starts, ends)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    mask = np.uint64((1 << BITS) - 1)
     at, pairs = windows(hashes, first, 2)
     equal = hashes[at] == hashes[at + 1]
     n = len(hashes)
     same = np.zeros(n, bool)
     same[at[equal]] = True
     runs = np.flatnonzero(same[: n - 2] & same[1 : n - 1] & same[2:]) if n >= RUN else np.zeros(0, np.int64)
-    rows = np.concatenate([row, row[at], row[runs]])
-    return rows, np.concatenate([(mix(hashes) & mask).astype(np.int64), (pairs & mask).astype(np.int64) + (1 << BITS), np.full(len(runs), BUCKETS - 1)])
+    word = WORD_PUNCT.classes[data[starts]] == 1
+    two = word[at] & word[at + 1] & ~equal
+    rows = np.concatenate([row, row[at[two]], row[runs]])
+    return rows, np.concatenate([(mix(hashes) % np.uint64(ONES)).astype(np.int64), (pairs[two] % np.uint64(TWOS)).astype(np.int64) + ONES, np.full(len(runs), BUCKETS - 1)])
 
 
 def _present(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,8 @@ def _counter(labelled, id_col: str):
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
     expected = raw * (n_target / max(1, n_raw))
-    return np.log((target + PRIOR) / (expected + PRIOR))
+    evidence = expected - target + target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9))
+    return np.where((LACK * (target + 1) < expected + 1) & (evidence > EVIDENCE), np.log((target + 1) / (expected + 1)), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELS) -> np.ndarray:
@@ -101,7 +104,7 @@ def sampled(labels: DataFrame, id_col: str = "doc_id", limit: int = LABELS) -> D
 
 def _weigher(ratios, id_col: str):
     def run(batches):
-        against = np.minimum(ratios.value + MARGIN, 0.0)
+        against = ratios.value
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
                 rows, found = buckets(data, offs)
@@ -121,7 +124,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The log weight from which on documents count as good: greatest share of good ones kept plus share of others rejected."""
+    """The log weight from which on documents count as good."""
     if good.all() or not good.any():
         return -np.inf
     order = np.argsort(weights, kind="stable")
@@ -129,7 +132,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     kept = 1 - np.append(0, np.cumsum(g)) / g.sum()
     gone = np.append(0, np.cumsum(~g)) / (~g).sum()
     at = np.flatnonzero(np.append(True, np.append(w[1:] != w[:-1], True)))
-    best = at[np.argmax((kept + gone)[at])]
+    best = at[np.argmax((KEEP * kept + gone)[at])]
     if best == 0:
         return -np.inf
     return float((w[best - 1] + w[best]) / 2) if best < len(w) else np.inf
