@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -43,13 +43,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     A folder of our own is set only where the session names none (tests).
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{os.environ.get('TMPDIR', '/tmp')}/quirelint-checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; set here only where the session names none (tests)."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{os.environ.get('TMPDIR', '/tmp')}/quirelint-checkpoints")
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -102,15 +102,19 @@ def sampled(labels: DataFrame, id_col: str = "doc_id", limit: int = LABELS) -> D
     return one.orderBy(F.xxhash64(id_col), id_col).limit(limit)
 
 
+def weights(data: np.ndarray, offs: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    rows, found = buckets(data, offs)
+    bad = np.flatnonzero(ratios[found] < 0)
+    rows, found = _present(rows[bad], found[bad])
+    return np.bincount(rows, ratios[found], minlength=len(offs) - 1).astype(float)
+
+
 def _weigher(ratios, id_col: str):
     def run(batches):
         against = ratios.value
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
-                rows, found = buckets(data, offs)
-                bad = np.flatnonzero(against[found] < 0)
-                rows, found = _present(rows[bad], found[bad])
-                weight = np.bincount(rows, against[found], minlength=len(offs) - 1).astype(float)
+                weight = weights(data, offs, against)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("h"), pa.array(weight)], [id_col, "h", "log_weight"])
 
     return run
@@ -156,33 +160,67 @@ def kth_greatest(keyed: DataFrame, k: int) -> int | None:
     return prefix
 
 
+def keys(weight: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Longs in the order of weight * SHARPNESS plus Gumbel noise drawn by ``seed``."""
+    u = ((mix(seed.view(np.uint64)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+    bits = (weight * SHARPNESS - np.log(-np.log(u)) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
 def _keyer(id_col: str):
     def run(batches):
         for batch in batches:
-            seed = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            u = ((mix(seed) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
-            key = batch.column("log_weight").to_numpy(zero_copy_only=False) * SHARPNESS - np.log(-np.log(u))
-            bits = (key + 0.0).view(np.int64)
-            order = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+            order = keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("log_weight", "seed")))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("h"), batch.column("log_weight"), as_long(order)], [id_col, "h", "log_weight", "key"])
 
     return run
 
 
-def resample(weighed: DataFrame, k: int, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """Adds key (long, ordered as log weight * SHARPNESS + Gumbel noise) and kept: whether it is among the k greatest."""
-    seeded = weighed.select(id_col, "h", "log_weight", F.xxhash64(F.lit(seed), F.col(id_col), "h").alias("seed"))
+def seeds(id_col: str, h, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(id_col), h)
+
+
+def resample(weighed: DataFrame, k: int, id_col: str = "doc_id", seed: int = 0) -> tuple[DataFrame, int | None]:
+    """Adds key (long) and kept: whether it is among the k greatest; and the least key that is, None for all."""
+    seeded = weighed.select(id_col, "h", "log_weight", seeds(id_col, F.col("h"), seed).alias("seed"))
     keyed = arrow_map(seeded, _keyer(id_col), f"{id_col} {type_of(weighed, id_col)}, h long, log_weight double, key long")
-    least = kth_greatest(keyed, k) if k > 0 else None
-    return keyed.withColumn("kept", F.lit(k > 0) if least is None else F.col("key") >= F.lit(least).cast("long"))
+    least = (kth_greatest(keyed, k) if k > 0 else 2**63 - 1)
+    return keyed.withColumn("kept", F.lit(True) if least is None else F.col("key") >= F.lit(least).cast("long")), least
+
+
+def _classified(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, int | None]:
+    ratios = fit(docs, labels)
+    weighed = checkpoint(weigh(docs, ratios))
+    # LABELS rows at most, but for repeated ids
+    told = weighed.join(F.broadcast(sampled(labels)), "doc_id").select("log_weight", "good").toPandas()
+    cut = best_cut(told["log_weight"].to_numpy(float), told["good"].to_numpy(bool))
+    kept, least = resample(weighed, weighed.where(F.col("log_weight") >= F.lit(cut)).count())
+    return kept, ratios, least
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, h, log_weight, key, kept) of every document."""
-    weighed = checkpoint(weigh(docs, fit(docs, labels)))
-    told = weighed.join(F.broadcast(sampled(labels)), "doc_id").select("log_weight", "good").toPandas()  # LABELS rows at most, but for repeated ids
-    cut = best_cut(told["log_weight"].to_numpy(float), told["good"].to_numpy(bool))
-    return resample(weighed, weighed.where(F.col("log_weight") >= F.lit(cut)).count())
+    return _classified(docs, labels)[0]
+
+
+def _selector(ratios, least: int, text_col: str, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            for part, data, offs in slices(batch, text_col):
+                order = keys(weights(data, offs, ratios.value), part.column("__seed").to_numpy(zero_copy_only=False))
+                yield part.select(names).filter(pa.array(order >= least))
+
+    return run
+
+
+def keep_best(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that ``classify`` keeps, all columns; weighed once more in the scan rather than joined."""
+    _, ratios, least = _classified(docs, labels)
+    if least is None:
+        return docs
+    seed = seeds("doc_id", F.xxhash64(F.coalesce(text_col, F.lit(""))), 0)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    return arrow_map(docs.withColumn("__seed", seed), _selector(shared, least, text_col, docs.columns), docs.schema)
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
