@@ -122,7 +122,8 @@ def luminance(colour: Column | str) -> Column:
 
 def contrast(a: Column | str, b: Column | str) -> Column:
     x, y = luminance(a), luminance(b)
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    ratio = (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    return F.when(x.isNotNull() & y.isNotNull(), ratio)
 
 
 def rounded(x: Column) -> Column:

@@ -92,7 +92,7 @@ def grouping_sets(df: DataFrame) -> DataFrame:
 
 
 def pivot(df: DataFrame, by: str = "doc_id") -> DataFrame:
-    return df.groupBy(by).pivot("severity", list(SEVERITIES)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(by).pivot("severity", list(SEVERITIES)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def top(df: DataFrame, limits: dict[str, int], order: list, by: list[str] | None = None) -> DataFrame:

@@ -141,8 +141,11 @@ def spelling(t: Tables, c: Config, dictionary: DataFrame) -> DataFrame:
     rows = (rows.where(~F.col("word").isin(list(c.accepted))) if c.accepted else rows).join(known, "word", "left_anti")
     unknown = rows.select("word").distinct()
     # words one edit apart agree when one letter of each is dropped: an equi-join instead of a cross join
-    dropped = lambda df, name: df.select(F.col("word").alias(name), F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.col("word").substr(F.lit(1), i - 1), F.col("word").substr(i + 1, F.lit(1 << 20)))), F.col("word"))).alias("key"))
-    near = dropped(unknown, "word").join(dropped(known, "right"), "key").where(F.levenshtein("word", "right", 1).isin(0, 1) | (F.levenshtein("word", "right") == 2)).select("word", "right").distinct()
+    def dropped(df: DataFrame, name: str) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.col("word").substr(F.lit(1), i - 1), F.col("word").substr(i + 1, F.lit(1 << 20))))
+        return df.withColumn("key", F.explode(F.array_append(less, F.col("word")))).select(F.col("word").alias(name), "key")
+
+    near = dropped(unknown, "word").join(dropped(known, "right"), "key").where(F.levenshtein("word", "right") <= 2).select("word", "right").distinct()
     near = near.groupBy("word").agg(F.array_join(F.slice(F.array_sort(F.collect_set("right")), 1, 3), ", ").alias("near"))
     rows = rows.join(near, "word", "left")
     spots = F.filter(matches("text", r"(?U)\b[a-zA-Z]{4,}\b"), lambda x: F.lower(x["m"]) == F.col("word"))
