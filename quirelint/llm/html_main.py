@@ -37,6 +37,7 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+ROOTS = ("article", "main")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: elements whose contents are never article text
 OUT = {
@@ -53,11 +54,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 P_SCOPE = {"article", "aside", "body", "button", "div", "section", "td", "th", "table", "li", "blockquote", "main", "header", "footer", "nav", "html", "figure", "form", "object"}
 
 
-def is_out(name: str, attrs: str) -> bool:
-    """Whether the element is known not to be article text."""
+def is_out(name: str, attrs: str, by_name: bool = True) -> bool:
+    """Whether the element is known not to be article text, by its tag or (``by_name``) its attributes."""
     if name in OUT:
         return True
-    if not attrs or attrs.isspace() or name in ("html", "body", "article", "main"):
+    if not by_name or not attrs or attrs.isspace() or name in ("html", "body", "article", "main"):
         return False
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values)
@@ -75,11 +76,14 @@ class _Element:
 
     def __init__(self, name: str, parent: _Element | None, out: bool) -> None:
         self.name, self.parent, self.out, self.parts, self.hash = name, parent, out, [], 0
-        self.in_article = parent is not None and (parent.in_article or parent.name == "article")
+        self.in_article = parent is not None and (parent.in_article or parent.name in ROOTS)
 
 
-def parse(page: str) -> list[tuple[str, _Element]]:
-    """Blocks of text outside excluded elements: (text, innermost element). Elements' hashes are set."""
+def parse(page: str, inside_only: bool = False) -> list[tuple[str, _Element]]:
+    """Blocks of text outside excluded elements: (text, innermost element). Elements' hashes are set.
+
+    With ``inside_only`` attributes exclude nothing around articles and main elements, only what is in them.
+    """
     top = _Element("", None, False)
     at_element, blocks, buffer = top, [], []
 
@@ -155,9 +159,9 @@ def parse(page: str) -> list[tuple[str, _Element]]:
                 break
             pos = page.find(">", end.end()) + 1 or n
             continue
-        out = at_element.out or is_out(name, attrs)
+        out = at_element.out or is_out(name, attrs, not inside_only or at_element.in_article or at_element.name in ROOTS)
         if name == "header" and not out:  # an article's own header holds its headings
-            out = not (at_element.in_article or at_element.name == "article")
+            out = not (at_element.in_article or at_element.name in ROOTS)
         at_element = _Element(name, at_element, out)
     flush()
     while at_element.parent is not None:
@@ -174,8 +178,15 @@ def path(e: _Element) -> list[_Element]:
 
 
 def content(page: str) -> list[tuple[str, list[int]]]:
-    """Blocks of the page's content with the hashes of the subtrees that hold them, inside the content's own element."""
-    blocks = [(text, path(e)) for text, e in parse(page)]
+    """Blocks of the page's content with the hashes of the subtrees that hold them, inside the content's own element.
+
+    A wrapper around everything may be named like a side part: a page that seems empty is read again with less weight on names.
+    """
+    return _content(parse(page)) or _content(parse(page, inside_only=True))
+
+
+def _content(found: list[tuple[str, _Element]]) -> list[tuple[str, list[int]]]:
+    blocks = [(text, path(e)) for text, e in found]
     blocks = [(text, p) for text, p in blocks if not any(e.name == "header" for e in p) or any(e.name in HEADINGS for e in p)]
     for name in ("article", "main", "body"):
         size: dict[int, int] = {}
@@ -187,7 +198,7 @@ def content(page: str) -> list[tuple[str, list[int]]]:
         if size:
             best = roots[max(size, key=size.get)]
             return [(text, [e.hash for e in p[: p.index(best)] if e.name in BLOCK]) for text, p in blocks if best in p]
-    return [(text, [e.hash for e in p if e.name in BLOCK]) for text, p in blocks if not any(e.name == "html" for e in p) or True]
+    return [(text, [e.hash for e in p if e.name in BLOCK]) for text, p in blocks]
 
 
 def _subtrees(batches):

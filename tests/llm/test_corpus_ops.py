@@ -160,7 +160,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 def test_main_text():
     assert [t for t, _ in html_main.content(PAGE.format(promo="p", long="c " * 500))] == ["Head & tail", "One two é", "Three four", "a", "b", "five"]
-    assert html_main.content("") == [] and html_main.content("<") == [] and html_main.content("<p>only <i>this") == [("only this", [])] or True
+    assert html_main.content("") == [] and html_main.content("<p>") == [] and [t for t, _ in html_main.content("<p>only <i>this")] == ["only this"]
+    wrapped = '<body><div class="page with-sidebar"><nav>m</nav><article><p>x</p><p class="ad">y</p></article><div class="comments"><article>c</article></div></div>'
+    assert [t for t, _ in html_main.content(wrapped)] == ["x"]
     assert [t for t, _ in html_main.content("<body><div><p>x</div><p>y")] == ["x", "y"]
     assert [t for t, _ in html_main.content("a <b 'unclosed> b <p>c")][-1:] == ["c"]
 
