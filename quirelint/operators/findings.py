@@ -96,7 +96,12 @@ def pivot(df: DataFrame, by: str = "doc_id") -> DataFrame:
 
 
 def top(df: DataFrame, limits: dict[str, int], order: list, by: list[str] | None = None) -> DataFrame:
-    """The first findings of each severity, in ``order``."""
+    """The first findings of each severity, in ``order``, of each group or of all.
+
+    Over all findings each severity is cut by a top-k first, so that no task sorts a whole severity.
+    """
+    if not by:
+        df = reduce(DataFrame.unionByName, (df.where(F.col("severity") == s).orderBy(*order).limit(n) for s, n in limits.items()))
     most = F.coalesce(*(F.when(F.col("severity") == s, n) for s, n in limits.items()))
     place = F.row_number().over(W.partitionBy(*(by or []), "severity").orderBy(*order))
     return df.where(F.col("severity").isin(list(limits))).withColumn("place", place).where(F.col("place") <= most)
