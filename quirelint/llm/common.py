@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
+#: symbols hashed at a time, whatever the length of a text
+PIECE = 2 * SLICE_BYTES
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -151,7 +153,16 @@ class Tokens:
         return starts, ends, np.searchsorted(starts, offs)
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return BYTES_BASE.spans(BYTES_BASE.sums(self.codes[data]), starts, ends) + (ends - starts).astype(np.uint64)
+        """Long texts are hashed in pieces; a hash doesn't depend on where its token stands."""
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            base = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+            sums = BYTES_BASE.sums(self.codes[data[base : ends[to - 1]]])
+            out[at:to] = BYTES_BASE.spans(sums, starts[at:to] - base, ends[at:to] - base)
+            at = to
+        return out + (ends - starts).astype(np.uint64)
 
 
 def _classes(separators: list[int], punctuation: bool = False) -> np.ndarray:
@@ -179,7 +190,12 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int, base: Base = WINDOW_B
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row_end = np.repeat(first[1:], np.diff(first))
     starts = np.flatnonzero(np.arange(k, n + 1) <= row_end[: n - k + 1])
-    return starts, base.spans(base.sums(hashes), starts, starts + k)
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, n - k + 1, PIECE):
+        i, j = np.searchsorted(starts, (a, a + PIECE))
+        part = starts[i:j] - a
+        out[i:j] = base.spans(base.sums(hashes[a : a + PIECE + k - 1]), part, part + k)
+    return starts, out
 
 
 def as_long(x: np.ndarray) -> pa.Array:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix, windows
+from .common import PIECE, WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix, windows
 
 #: bytes of input that a batch has at least, as the planner estimates them; a batch grows with the root of the input
 BATCH = 1 << 20
@@ -46,9 +46,9 @@ class Symbols:
     index: Callable | None = None
 
     def codes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each symbol, index of each row's first symbol and of the end)."""
+        """(symbols, index of each row's first symbol and of the end): bytes as they are, words as hashes."""
         if self.tokens is None:
-            return BYTE_CODES[data], offs
+            return data, offs
         starts, ends, first = self.tokens.cut(data, offs)
         return self.tokens.hashes(data, starts, ends), first
 
@@ -62,8 +62,26 @@ class Runs:
     content: np.ndarray
 
 
+def hashed(codes: np.ndarray) -> np.ndarray:
+    return BYTE_CODES[codes] if codes.dtype == np.uint8 else codes
+
+
 def find_runs(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, first symbol in the row, windows, anchor, content) of each run.
+
+    Long input is taken in overlapping pieces. A run across two of them comes as two, which changes classes but no answer:
+    every window is still in one run, and runs of one anchor and different contents are compared window by window.
+    """
     n = len(codes)
+    if n > PIECE + length:
+        parts = []
+        for a in range(0, n - length + 1, PIECE):
+            part = codes[a : a + PIECE + length - 1]
+            own = np.clip(first - a, 0, len(part))
+            row, start, *rest = find_runs(part, own, length, k)
+            parts.append((row, start + own[row] + a - first[row], *rest))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    codes = hashed(codes)
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     sums = WINDOW_BASE.sums(codes)
@@ -220,7 +238,8 @@ class Entries:
         offs = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) + len(sep) for x in texts], out=offs[1:])
         data = np.frombuffer(b"".join(x + sep for x in texts), np.uint8)
-        _, hashes = windows(*self.symbols.codes(data, offs), self.symbols.length)
+        codes, first = self.symbols.codes(data, offs)
+        _, hashes = windows(hashed(codes), first, self.symbols.length)
         owner = np.repeat(self.low[self.by_hash], self.runs.n[self.sample[self.by_hash]])
         found, place = np.unique(hashes, return_inverse=True)
         low = np.full(len(found), 2**63 - 1)
@@ -329,7 +348,7 @@ def _split(flags: list[np.ndarray], sizes: list[int]) -> list[bytes]:
 
 
 def shared_anchors(blobs: list[bytes]) -> list[bytes]:
-    sizes = [_anchor_count(len(x)) for x in blobs]
+    sizes = [count_in(len(x), 8) for x in blobs]
     anchors = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes, strict=True)])
     several = np.concatenate([unpack(x[8 * n :], n)[0] for x, n in zip(blobs, sizes, strict=True)])
     _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
@@ -338,10 +357,10 @@ def shared_anchors(blobs: list[bytes]) -> list[bytes]:
     return _split([many[place]], sizes)
 
 
-def _anchor_count(size: int) -> int:
-    """n with 8 n + ceil(n / 8) = size."""
-    n = size * 8 // 65
-    while 8 * n + -(-n // 8) < size:
+def count_in(size: int, width: int) -> int:
+    """n with width n + ceil(n / 8) = size."""
+    n = size * 8 // (8 * width + 1)
+    while width * n + -(-n // 8) < size:
         n += 1
     return n
 

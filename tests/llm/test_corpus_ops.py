@@ -64,7 +64,7 @@ def test_substrings(spark, monkeypatch):
 
 
 def test_suffixes(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BATCH", 1 << 10)
+    monkeypatch.setattr(repeats, "BATCH", 1 << 12)
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, lambda t: (t or "").encode(), 50, bytes)
@@ -86,12 +86,30 @@ def test_interval_expansion():
         assert sorted(sorted(x.tolist()) for x in np.split(at, heads[1:])) == want if want else not len(at)
 
 
-def test_winnowing_covers_every_window():
+def test_winnowing_covers_every_window(monkeypatch):
     codes = np.array([hash(x) % 2**63 for x in random.Random(6).choices("abcdefgh", k=500)], np.uint64)
     first = np.array([0, 0, 49, 99, 300, 500])
     row, start, n, *_ = repeats.find_runs(codes, first, 50, 25)
     got = [(r, s + i) for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True) for i in range(k)]
-    assert got == [(r, s) for r in range(5) for s in range(first[r + 1] - first[r] - 49)]
+    want = [(r, s) for r in range(5) for s in range(first[r + 1] - first[r] - 49)]
+    assert got == want
+    monkeypatch.setattr(repeats, "PIECE", 60)
+    row, start, n, *_ = repeats.find_runs(codes, first, 50, 25)
+    assert sorted((r, s + i) for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True) for i in range(k)) == want
+
+
+def test_pieces_hash_alike(monkeypatch):
+    from quirelint.llm import common
+
+    data = np.frombuffer(b"one two  three four five six seven eight nine ten eleven " * 20, np.uint8)
+    offs = np.array([0, 100, 100, len(data)])
+    starts, ends, first = common.WORDS.cut(data, offs)
+    whole = common.WORDS.hashes(data, starts, ends)
+    at, grams = common.windows(whole, first, 5)
+    monkeypatch.setattr(common, "PIECE", 37)
+    assert (common.WORDS.hashes(data, starts, ends) == whole).all()
+    again, pieces = common.windows(whole, first, 5)
+    assert (again == at).all() and (pieces == grams).all()
 
 
 def test_prefix_join(spark):
