@@ -263,3 +263,44 @@ def test_from_nested_is_empty_without_files(spark):
     t = from_nested(spark.createDataFrame([], NESTED))
     assert audit(t, parse_rules(RULES)).count() == 0 and replace(Config(), max_font_types=1).max_font_types == 1
     assert t.page_text.select(F.col("all_text")).count() == 0
+
+
+def test_service(spark):
+    import pytest
+
+    from quirelint.sources import service
+
+    t = corpus(spark, {"d": ("md", page("teh text and FinFET 中文中文的的"))})
+
+    def post(text: str, language: str) -> list[dict]:
+        hit = lambda w, issue, category="C": [{"message": "m", "offset": text.find(w), "rule": {"id": "R", "issueType": issue, "category": {"id": category}}, "replacements": [{"value": "the"}] * 4, "context": {"text": text, "offset": text.find(w), "length": len(w)}}] if w in text else []
+        return hit("teh", "misspelling") + hit("FinFET", "grammar") + hit("text", "style", "TYPOGRAPHY") + hit("的的", "other")
+
+    rows = service.service_findings(t, replace(Config(), accepted=("finfet",)), post).collect()
+    assert sorted((r.rule_id, r.severity, r.suggestion, json.loads(r.metadata)["language"]) for r in rows) == [("R", "error", "建议改为: the / the / the", "en"), ("R", "warning", "建议改为: the / the / the", "zh")]
+    with pytest.raises(ValueError, match="this machine"):
+        service.http_post("http://example.org/v2")
+
+    def fails(text: str, language: str) -> list[dict]:
+        if text.startswith("b"):
+            raise OSError
+        return [{"offset": 1}]
+
+    assert [m["offset"] for m in service.matches("a" * service.CHUNK * 2 + "b" * service.CHUNK * 2, "en-US", fails)] == [1, service.CHUNK + 1]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quirelint import cli
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pptx").write_bytes(deck())
+    (folder / "b.md").write_text("# T\n\ntext")
+    (tmp_path / "rules.md").write_text("# 格式规则\n## FMT-005: o\n- 严重度: error\n- 检查: element_overflow\n", encoding="utf-8")
+    common = ["--rules", str(tmp_path / "rules.md")]
+    assert cli.main([str(folder), *common, "--output", str(tmp_path / "r.html"), "--fix"], spark) == 1
+    assert (tmp_path / "r_01.html").exists() and (tmp_path / "r_02.html").exists() and "FMT-005" in capsys.readouterr().out
+    assert ooxml.parse_pptx("x", (folder / "a_fixed.pptx").read_bytes())["pages"][0]["elements"][1]["left"] == 860.0
+    assert cli.main(["audit", str(folder / "b.md"), *common, "--output", str(tmp_path / "r.json")], spark) == 0
+    assert json.loads((tmp_path / "r.json").read_text())["document"]["title"] == "b"
+    assert cli.main([str(folder), "--output", "r.txt"], spark) == 2 and cli.main([str(folder), "--format", "docx"], spark) == 1
