@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import arrow_map, checkpoint
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that these edges link each with)."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(batches):
+    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+    if parts:
+        nodes, roots = contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        own = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(roots[own]), pa.array(nodes[own])], ["a", "b"])
 
 
 def components(edges: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of ``edges`` (a, b: long).
+    """(node, root): the smallest node reachable, for every node that ``edges`` (a, b: long) link with another.
 
-    Each round takes the smallest label of a node and its neighbours, then that label's own label.
-    A hub's rows are pre-aggregated (min) or split as a skewed join.
+    Each partition's edges are contracted to stars first, so chains are short. Then each round takes the smallest label of a node
+    and its neighbours, and that label's own label. A hub's rows are pre-aggregated (min) or split as a skewed join.
     """
-    both = edges.select("a", "b").where("a <> b").distinct()
-    both = checkpoint(both.union(both.select("b", "a")).distinct())
+    stars = arrow_map(edges.select("a", "b"), _contracted, "a long, b long")
+    both = checkpoint(stars.union(stars.select("b", "a")).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
     while True:
         seen = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))

@@ -1,9 +1,12 @@
 """N-gram Jaccard join with signature trees, for connected components of near-duplicates.
 
 Documents of one shingle set form a class. Candidates meet by prefix filter: with shingles in an order that
-all documents share, rarest first by counts over the whole corpus, two sets of similarity t or
-more share one of their first |s| - ceil(t |s|) + 1. Classes that share a prefix shingle, directly or by
-others, form a cluster; only clusters are compared, a cluster or a pack of small ones at a time.
+all documents share, rarest first, two sets of similarity t or more share one of their first
+|s| - ceil(t |s|) + 1. How rare a shingle is comes from all documents: each batch sends its distinct shingles as packed
+five-byte prints by bucket (``repeats``), and back comes how many there are, by powers of two; one that only one class has
+joins nobody, so a document of a quarter own shingles has no candidates. Classes that share a prefix shingle are chained by
+size, where neighbours are of sizes that can be similar; chained classes form a cluster, and only clusters are compared, a
+cluster or a pack of small ones at a time.
 
 In a task the sets are the leaves of a signature tree, whose nodes hold the OR of token bitmaps,
 the most tokens that bitmaps hide by collision, and size ranges. A dual traversal goes down from the
@@ -29,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_WORDS, arrow_map, checkpoint, mix, slices, table, windows
-from .graph import components
-from .repeats import ASK, TELL, Entries, _answer, _ask, _buckets, _of, by_bucket, deal, pack, shared_anchors, told
+from .graph import components, contract
+from .repeats import ASK, TELL, Entries, _answer, _ask, _buckets, _of, by_bucket, count_in, deal, pack, unpack
 
-K, PERCENT, CELL_BITS, MAX_SETS, MAX_TOKENS, FAN = 5, 75, 17, 2000, 2_000_000, 8
+K, PERCENT, PRINT, MAX_SETS, MAX_TOKENS, FAN = 5, 75, 5, 2000, 2_000_000, 8
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -59,10 +62,6 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def _classes(k: int):
     def run(batches):
         for batch in batches:
@@ -77,76 +76,96 @@ def _classes(k: int):
     return run
 
 
-def _counts(k: int):
-    def run(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for tokens in shingle_sets(batch, k):
-                np.add.at(total, _cells(tokens), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+def prints(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :PRINT]).tobytes()
 
-    return run
 
+def _ask_tokens(k: int, n: int):
+    def run(texts: pa.Table) -> pa.Table:
+        b = _Batch(texts, k)
+        order, parts = by_bucket(b.distinct, n)
+        return _ask([(c, _of(texts), prints(b.distinct[order[i:j]]) + pack(b.several[order[i:j]])) for c, i, j in parts])
 
-class _Prefixes:
-    """A batch's prefix shingles and the classes that they stand for, each pair once."""
+    return run
 
-    def __init__(self, texts: pa.Table, counts: np.ndarray, k: int, percent: int) -> None:
-        rows = Entries.batch(texts)
-        tokens, classes, seen = [], [], set()
-        valid = rows.column("id").is_valid().to_pylist()
-        for has_id, s in zip(valid, shingle_sets(rows, k), strict=True):
-            if not has_id or not len(s) or (c := class_of(s)) in seen:
-                continue
-            seen.add(c)
-            p = s[np.lexsort((s, counts[_cells(s)]))[: prefix_size(len(s), percent)]]
-            tokens.append(p)
-            classes.append(np.full(len(p), c[0]))
-        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.classes = np.concatenate(classes) if classes else np.zeros(0, np.int64)
-        order = np.argsort(self.tokens, kind="stable")
-        self.tokens, self.classes = self.tokens[order], self.classes[order]
-        self.distinct, self.entry, count = np.unique(self.tokens, return_inverse=True, return_counts=True)
-        self.several = count > 1
 
+def rarity(blobs: list[bytes]) -> list[bytes]:
+    """For each shingle 0 if one class has it, else the binary digits of how many batches do (twice if several of its classes do)."""
+    sizes = [count_in(len(x), PRINT) for x in blobs]
+    tokens = np.zeros((sum(sizes), 8), np.uint8)
+    tokens[:, :PRINT] = np.concatenate([np.frombuffer(x, np.uint8, PRINT * n) for x, n in zip(blobs, sizes, strict=True)]).reshape(-1, PRINT)
+    several = np.concatenate([unpack(x[PRINT * n :], n)[0] for x, n in zip(blobs, sizes, strict=True)])
+    _, place = np.unique(tokens.view(np.uint64).ravel(), return_inverse=True)
+    total = np.bincount(place, 1.0 + several)[place].astype(np.int64)
+    level = np.where(total > 1, np.ceil(np.log2(total + 1)), 0).astype(np.uint8)
+    return [x.tobytes() for x in np.split(level, np.cumsum(sizes)[:-1])]
 
-def _ask_prefixes(counts, k: int, percent: int, n: int):
-    def run(texts: pa.Table) -> pa.Table:
-        p = _Prefixes(texts, counts.value, k, percent)
-        order, parts = by_bucket(p.distinct, n)
-        return _ask([(b, _of(texts), p.distinct[order[i:j]].tobytes() + pack(p.several[order[i:j]])) for b, i, j in parts])
 
-    return run
+class _Batch:
+    """A batch's classes, each once, and its distinct shingles."""
 
+    def __init__(self, texts: pa.Table, k: int) -> None:
+        rows = Entries.batch(texts)
+        self.sets, self.classes = [], []
+        seen = set()
+        for has_id, s in zip(rows.column("id").is_valid().to_pylist(), shingle_sets(rows, k), strict=True):
+            if has_id and len(s) and (c := class_of(s)) not in seen:
+                seen.add(c)
+                self.sets.append(s)
+                self.classes.append(c[0])
+        every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
+        self.distinct, count = np.unique(every, return_counts=True)
+        self.several = count > 1
 
-def _ask_clusters(counts, k: int, percent: int, n: int):
+    def prefixes(self, answers: dict[tuple[int, int], bytes], n_buckets: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, class, size of the class) of prefix shingles that several classes have."""
+        level = np.zeros(len(self.distinct), np.uint8)
+        order, parts = by_bucket(self.distinct, n_buckets)
+        for bucket, i, j in parts:
+            level[order[i:j]] = np.frombuffer(answers[1, bucket], np.uint8)
+        tokens, classes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, c in zip(self.sets, self.classes, strict=True):
+            own, most = level[np.searchsorted(self.distinct, s)], prefix_size(len(s), percent)
+            shared = np.flatnonzero(own)
+            left = most - (len(s) - len(shared))  # places that shingles of its own don't fill
+            if left > 0:
+                t = s[shared[np.lexsort((s[shared], own[shared]))[:left]]]
+                tokens.append(t)
+                classes.append(np.full(len(t), c))
+                sizes.append(np.full(len(t), len(s)))
+        return tuple(map(np.concatenate, (tokens, classes, sizes)))
+
+
+def _ask_clusters(k: int, percent: int, n: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _ask([])
-        p = _Prefixes(texts, counts.value, k, percent)
-        shared = told(Entries.by_step(answers), 1, p.distinct, n)[0] | p.several
-        keep = shared[p.entry]
-        tokens, classes = p.tokens[keep], p.classes[keep]
-        order, parts = by_bucket(tokens, n)
-        return _ask([(b, _of(texts), tokens[order[i:j]].tobytes() + classes[order[i:j]].tobytes()) for b, i, j in parts])
+        found = _Batch(texts, k).prefixes(Entries.by_step(answers), n, percent)
+        order = np.argsort(found[0], kind="stable")
+        found = [x[order] for x in found]
+        order, parts = by_bucket(found[0], n)
+        return _ask([(b, _of(texts), b"".join(x[order[i:j]].tobytes() for x in found)) for b, i, j in parts])
 
     return run
 
 
-def _stars(batches):
-    """Classes that share a token, each with the smallest of them."""
-    for _, _, blobs in _buckets(batches):
-        tokens, classes = (np.concatenate([np.frombuffer(x, t, len(x) // 16, j * (len(x) // 2)) for x in blobs]) for j, t in enumerate((np.uint64, np.int64)))
-        order = np.lexsort((classes, tokens))
-        tokens, classes = tokens[order], classes[order]
-        head = np.append(True, tokens[1:] != tokens[:-1])
-        least = classes[head][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([least, classes], 1)[least != classes], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _stars(percent: int):
+    """Classes that share a shingle and whose sizes allow similarity from one to the next, contracted: each linked with the smallest that the bucket links it with."""
+
+    def run(batches):
+        for _, _, blobs in _buckets(batches):
+            tokens, classes, sizes = (np.concatenate([np.frombuffer(x, t, len(x) // 24, j * (len(x) // 3)) for x in blobs]) for j, t in enumerate((np.uint64, np.int64, np.int64)))
+            order = np.lexsort((classes, sizes, tokens))
+            tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+            link = (tokens[1:] == tokens[:-1]) & (classes[1:] != classes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
+            nodes, roots = contract(classes[:-1][link], classes[1:][link])
+            own = nodes != roots
+            yield pa.RecordBatch.from_arrays([pa.array(roots[own]), pa.array(nodes[own])], ["a", "b"])
+
+    return run
 
 
-SETS = "cluster long, rep long, n long, tokens binary"
+SETS = "cluster long, blocks long, rep long, n long, tokens binary"
 
 
 def _fetch(k: int):
@@ -155,15 +174,15 @@ def _fetch(k: int):
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if texts.num_rows and wanted.num_rows:
-            clusters = {(r, c): x for r, c, x in zip(*(wanted.column(c).to_pylist() for c in ("rep", "c1", "cluster")), strict=True)}
+            clusters = {(r, c): x for r, c, *x in zip(*(wanted.column(c).to_pylist() for c in ("rep", "c1", "cluster", "blocks")), strict=True)}
             reps = pa.array(sorted({r for r, _ in clusters}), pa.int64())
             rows = Entries.batch(texts.filter(pc.is_in(texts.column("id"), value_set=reps)))
             for i, s in zip(rows.column("id").to_pylist(), shingle_sets(rows, k), strict=True):
                 x = clusters.pop((i, class_of(s)[0]), None)
                 if x is not None:
-                    out.append((x, i, len(s), s.tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cluster", "rep", "n", "tokens"])
+                    out.append((*x, i, len(s), s.tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["cluster", "blocks", "rep", "n", "tokens"])
 
     return run
 
@@ -245,69 +264,83 @@ def forest(sets: list[np.ndarray], groups: np.ndarray, percent: int, known: np.n
     return out
 
 
-def _join(percent: int):
+FOUND = "a long, b long, cluster long, rep long, n long, tokens binary"
+
+
+def _join(percent: int, leaders: bool = False):
+    """Links of a group; with ``leaders`` also the first set of each connected part."""
+
     def run(group: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        reps = group.column("rep").to_numpy()
+        reps, clusters = group.column("rep").to_numpy(), group.column("cluster").to_numpy()
         known = group.column("known").to_numpy() if "known" in group.schema.names else None
-        links = forest(sets, group.column("cluster").to_numpy(), percent, known)
-        return pa.table([pa.array([reps[i] for i, _ in links], pa.int64()), pa.array([reps[j] for _, j in links], pa.int64())], ["a", "b"])
+        links = forest(sets, clusters, percent, known)
+        none = lambda n, t: pa.nulls(n, t)
+        a, b = (pa.array([reps[x[side]] for x in links], pa.int64()) for side in (0, 1))
+        out = pa.table([a, b, *(none(len(links), t) for t in (*[pa.int64()] * 3, pa.binary()))], [x.split()[0] for x in FOUND.split(", ")])
+        if not leaders:
+            return out.select(["a", "b"])
+        label = np.arange(len(sets))
+        for x, y in links:
+            label[label == label[y]] = label[x]
+        first = {}
+        for i in np.argsort(reps, kind="stable"):
+            first.setdefault(label[i], i)
+        lead = group.take(pa.array(list(first.values()), pa.int64())).select(["cluster", "rep", "n", "tokens"])
+        return pa.concat_tables([out, pa.table([none(len(first), pa.int64())] * 2 + lead.columns, out.schema.names).cast(out.schema)])
 
     return run
 
 
-def _in_blocks(sets: DataFrame, sizes: DataFrame, percent: int, max_sets: int) -> DataFrame:
-    """Links of clusters too large for one task. sizes: (cluster, blocks)."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    sets = sets.join(sizes, "cluster").withColumn("block", block)
+def _in_blocks(sets: DataFrame, percent: int, max_sets: int) -> DataFrame:
+    """Links of clusters too large for one task, which are dealt into blocks."""
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     join = lambda df, *keys: df.groupBy(*keys).applyInArrow(_join(percent), "a long, b long")
-    links = checkpoint(join(sets, "cluster", "block"))
-    label = lambda: F.coalesce("root", "rep").alias("known")
-    rooted = lambda: sets.join(components(links, "rep", "root"), "rep", "left").select(*sets.columns, label())
-    leaders = rooted().where("known = rep")
+    found = checkpoint(sets.groupBy("cluster", "block").applyInArrow(_join(percent, True), FOUND))
+    links, leaders = found.where("a is not null").select("a", "b"), found.where("rep is not null").select("cluster", "rep", "n", "tokens")
     many = leaders.groupBy("cluster").agg(F.ceil(F.count("*") / (2 * max_sets)).alias("parts"))
     leaders = leaders.join(many, "cluster").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
     links = checkpoint(links.unionByName(join(leaders, "cluster", "part")))
-    known = checkpoint(rooted())
+    # labels of all sets, without their shingles
+    known = sets.select("cluster", "rep").join(components(links, "rep", "root"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("known"))
+    known = checkpoint(known)
     largest = known.groupBy("cluster", "known").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "known")).alias("x"))
-    rest = known.join(largest.select("cluster", F.col("x.known").alias("main")), "cluster").where("known <> main").drop("main")
-    chunks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / max_sets).alias("chunks"))
+    rest = known.join(largest.select("cluster", F.col("x.known").alias("main")), "cluster").where("known <> main").select("cluster", "rep")
+    chunks = checkpoint(rest.groupBy("cluster").agg(F.ceil(F.count("*") / max_sets).alias("chunks")))
+    if chunks.isEmpty():
+        return links
     chunk = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks"))
-    rest = rest.join(chunks, "cluster").withColumn("chunk", chunk).withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # a set of both the block and the rest of its chunk is there once
-    block_side = known.join(chunks, "cluster").withColumn("own_chunk", chunk).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rest = rest.where("own <> block")
-    cols = ["cluster", "block", "chunk", "rep", "n", "tokens", "known"]
-    return links.unionByName(join(block_side.select(cols).unionByName(rest.select(cols)), "cluster", "block", "chunk"))
+    # a set of the rest goes to every block but its own, where it is already
+    labelled = sets.join(chunks, "cluster").join(known.select("rep", "known"), "rep").join(rest.select("rep", F.lit(True).alias("is_rest")), "rep", "left")
+    to = F.when(F.col("is_rest"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = labelled.withColumn("to", F.explode(to))
+    own = F.col("to") == F.col("block")
+    dealt = dealt.withColumn("chunk", F.explode(F.when(own, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(chunk))))
+    return links.unionByName(join(dealt.select("cluster", "to", "chunk", "rep", "n", "tokens", "known"), "cluster", "to", "chunk"))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_sets: int = MAX_SETS) -> DataFrame:
     """(id, n, c1, c2, component): component is the smallest id reachable by links; (c1, c2) the class."""
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     classes = checkpoint(arrow_map(rows, _classes(k), "id long, n long, c1 long, c2 long"))
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    for r in arrow_map(rows, _counts(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a cell
-        counts[r.cell] = r.n
-    shared = sc.broadcast(counts)
     texts, n = deal(docs, id_col, text_col)
-    asked = texts.groupBy("batch").applyInArrow(_ask_prefixes(shared, k, percent, n), ASK)
-    answers = arrow_map(asked.repartition("bucket").sortWithinPartitions("bucket"), _answer(1, shared_anchors), TELL)
-    asked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_clusters(shared, k, percent, n), ASK)
-    stars = arrow_map(asked.repartition("bucket").sortWithinPartitions("bucket"), _stars, "a long, b long")
-    clusters = components(stars, "c1", "cluster")
+    sorted_by_bucket = lambda asked: asked.repartition("bucket").sortWithinPartitions("bucket")
+    asked = texts.groupBy("batch").applyInArrow(_ask_tokens(k, n), ASK)
+    answers = arrow_map(sorted_by_bucket(asked), _answer(1, rarity), TELL)
+    asked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_clusters(k, percent, n), ASK)
+    clusters = components(arrow_map(sorted_by_bucket(asked), _stars(percent), "a long, b long"), "c1", "cluster")
     reps = classes.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    wanted = clusters.join(reps, "c1").select("cluster", "rep", "c1", F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("batch"))
+    members = checkpoint(clusters.join(reps, "c1").select("cluster", "rep", "c1", "n"))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / max_sets), F.ceil(F.sum("n") / MAX_TOKENS)).alias("blocks"))
+    batch = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("batch")
+    wanted = members.join(sizes, "cluster").select("cluster", "blocks", "rep", "c1", batch)
     sets = checkpoint(texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_fetch(k), SETS))
-    sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / max_sets), F.ceil(F.sum("n") / MAX_TOKENS)).alias("blocks"), F.count("*").alias("m"))
-    sizes = checkpoint(sizes)
-    small = sizes.where("blocks <= 1")
-    packs = max(1, (small.agg(F.sum("m")).first()[0] or 0) // 500)
-    small = sets.join(small.select("cluster"), "cluster").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
+    packs = max(1, members.count() // 500)
+    small = sets.where("blocks <= 1").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
     links = small.groupBy("pack").applyInArrow(_join(percent), "a long, b long")
-    large = sizes.where("blocks > 1").select("cluster", "blocks")
+    large = sets.where("blocks > 1")
     if not large.isEmpty():
-        links = links.unionByName(_in_blocks(sets, large, percent, max_sets))
+        links = links.unionByName(_in_blocks(large, percent, max_sets))
     roots = components(links, "rep", "root")
     of_class = reps.join(roots, "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("component"))
     linked = classes.where("n > 0 and id is not null").join(of_class, ["c1", "c2"])

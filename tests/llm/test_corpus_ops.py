@@ -264,3 +264,22 @@ def test_forest_prunes_exactly():
     found = {p for i, j in tree.pairs(75, lambda i, j: np.zeros(len(i), bool)) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.similar(sets[i], sets[j], 75)}
     assert want <= found and len(found) < len(sets) ** 2 / 10
+
+
+def test_components(spark):
+    from quirelint.llm import graph
+
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(0, 400) if i % 50 != 49] + [(5, 300), (7, 7)] + [(rng.randint(500, 700), rng.randint(500, 700)) for _ in range(60)] + [(900, 1000 + i) for i in range(200)]
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(label[a], label[b])
+            changed |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    alone = {x for x in label if not any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert {r.node: r.root for r in graph.components(df).collect()} == {k: v for k, v in label.items() if k not in alone}
+    assert graph.components(df.where("false")).count() == 0
