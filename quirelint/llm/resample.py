@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (single words and punctuation runs, pairs of neighbouring words, and
-one bucket for runs of four equal tokens) give the chance that a document holds a bucket: the raw
+a bucket each for runs of four and of eight equal tokens) give the chance that a document holds a bucket: the raw
 one from all documents, the target one from labelled documents that are good and not toxic. A bucket
 counts if the target holds it under a ``LACK``-th as often as the raw text's rate lets expect, and significantly so (the
 chance is below exp(-``EVIDENCE``) by Chernoff's bound); its log ratio is smoothed by one document. A document's log weight is the
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PUNCT, arrow_map, as_long, checkpoint, mix, slices, table, type_of, windows
 
-ONES, TWOS, LABELS, EVIDENCE, LACK, KEEP, SHARPNESS, RUN = 1 << 18, 1 << 17, 20_000, 8.5, 4, 10, 10.0, 4
-BUCKETS = ONES + TWOS + 1
+ONES, TWOS, LABELS, EVIDENCE, LACK, KEEP, SHARPNESS, RUNS = 1 << 18, 1 << 17, 20_000, 8.5, 4, 10, 10.0, (4, 8)
+BUCKETS = ONES + TWOS + len(RUNS)
 
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +40,12 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = len(hashes)
     same = np.zeros(n, bool)
     same[at[equal]] = True
-    runs = np.flatnonzero(same[: n - 2] & same[1 : n - 1] & same[2:]) if n >= RUN else np.zeros(0, np.int64)
+    count = np.append(0, np.cumsum(same))
+    runs = [np.flatnonzero(count[r - 1 :] - count[: n - r + 2] == r - 1) if n >= r else np.zeros(0, np.int64) for r in RUNS]
     word = WORD_PUNCT.classes[data[starts]] == 1
     two = word[at] & word[at + 1] & ~equal
-    rows = np.concatenate([row, row[at[two]], row[runs]])
-    return rows, np.concatenate([(mix(hashes) % np.uint64(ONES)).astype(np.int64), (pairs[two] % np.uint64(TWOS)).astype(np.int64) + ONES, np.full(len(runs), BUCKETS - 1)])
+    rows = np.concatenate([row, row[at[two]], *(row[r] for r in runs)])
+    return rows, np.concatenate([(mix(hashes) % np.uint64(ONES)).astype(np.int64), (pairs[two] % np.uint64(TWOS)).astype(np.int64) + ONES, *(np.full(len(r), ONES + TWOS + k) for k, r in enumerate(runs))])
 
 
 def _present(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
