@@ -1,5 +1,6 @@
 """The driver contract, with and without the optional subpackage."""
 
+import re
 import shutil
 import subprocess
 import sys
@@ -24,4 +25,4 @@ def test_without_llm(tmp_path):
 
 def test_nothing_imports_llm():
     files = [p for p in (ROOT / "quirelint").rglob("*.py") if "llm" not in p.parts]
-    assert files and not [p for p in files if "llm" in p.read_text()]
+    assert files and not [p for p in files if re.search(r"quirelint\.llm|from \.+llm|corpus_pipeline", p.read_text())]
