@@ -18,14 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: bytes of an Arrow batch between Spark and its Python workers, where the session has the default of 64 MB
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: symbols hashed at a time, whatever the length of a text
 PIECE = 2 * SLICE_BYTES
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where they see the driver's files (else: --py-files)."""
+    """Lets Python workers import this package where they see the driver's files (else: --py-files), and keeps their batches small."""
+    if spark.conf.get(BATCH_CONF) == "67108864b":
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
