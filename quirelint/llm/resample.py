@@ -2,14 +2,16 @@
 
 Two generative models over hashed n-grams (single words and punctuation runs, pairs of neighbouring words, and
 a bucket each for runs of four and of eight equal tokens) give the chance that a document holds a bucket: the raw
-one from all documents, the target one from labelled documents that are good and not toxic. A bucket
-counts if the target holds it under a ``LACK``-th as often as the raw text's rate lets expect, and significantly so (the
-chance is below exp(-``EVIDENCE``) by Chernoff's bound); its log ratio is smoothed by one document. A document's log weight is the
-sum over its buckets: plain text weighs 0, whatever its length, and what the target lacks counts
-against it. Documents are sampled without replacement by Gumbel top-k: the k greatest of
+one from all documents, the target one from labelled documents that are good and not toxic. A bucket's log ratio is
+smoothed by one document and shrunk by what speaks for it, so none is cut off at a bar and small tables count too: the
+evidence is the log likelihood by which the target's count differs from the raw rate, plus that by which the labelled
+good ones differ from the other labelled ones, less if the two disagree; a ratio counts in full as evidence grows beyond ``EVIDENCE``.
+A document's log weight is the sum over its buckets divided by the root of their number (the spread of a sum of chance
+differences), in units of a document of ``TYPICAL`` buckets. Its own row is left out of all counts that weigh it, or
+labelled documents would weigh more than others. Documents are sampled without replacement by Gumbel top-k: the k greatest of
 log weight * ``SHARPNESS`` + noise, the noise a function of id and text. k is the number of documents whose
 log weight passes the cut that parts the labelled ones best, a good one lost weighing as much as ``KEEP`` others kept
-(in shares).
+(in shares); the cut is 0 at most, so that texts of which nothing is known pass.
 
 At most ``LABELS`` labelled documents are used (those of smallest hash, spread over the corpus);
 counts, weights and the sample cover all documents. Null texts count as empty and weigh 0;
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PUNCT, arrow_map, as_long, checkpoint, mix, slices, table, type_of, windows
 
-ONES, TWOS, LABELS, EVIDENCE, LACK, KEEP, SHARPNESS, RUNS = 1 << 18, 1 << 17, 20_000, 8.5, 4, 10, 10.0, (4, 8)
+ONES, TWOS, LABELS, EVIDENCE, TYPICAL, KEEP, SHARPNESS, RUNS = 1 << 18, 1 << 17, 20_000, 8.5, 256, 10, 10.0, (4, 8)
 BUCKETS = ONES + TWOS + len(RUNS)
 
 
@@ -55,45 +57,64 @@ def _present(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key // BUCKETS, key % BUCKETS
 
 
+def groups(ids: pa.Array, known: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """0: not labelled, 1: good, 2: another labelled document."""
+    if not len(known):
+        return np.zeros(len(ids), np.int64)
+    ids, null = ids.cast(pa.int64()).fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return np.where((known[place] == ids) & ~null, np.where(good[place], 1, 2), 0)
+
+
 def _counter(labelled, id_col: str):
     def run(batches):
-        known, good = labelled.value
-        raw, target, sizes = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(2, np.int64)
+        counts, sizes = np.zeros((3, BUCKETS), np.int64), np.zeros(3, np.int64)
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
-                ids = part.column(id_col).cast(pa.int64()).fill_null(-1).to_numpy()
-                place = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-                is_target = (known[place] == ids) & good[place] if len(known) else np.zeros(len(ids), bool)
+                group = groups(part.column(id_col), *labelled.value)
                 rows, found = _present(*buckets(data, offs))
-                raw += np.bincount(found, minlength=BUCKETS)
-                target += np.bincount(found[is_target[rows]], minlength=BUCKETS)
-                sizes += (len(ids), int(is_target.sum()))
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(raw[at], sizes[0])), pa.array(np.append(target[at], sizes[1]))], ["bucket", "raw", "target"])
+                for g in range(3):
+                    counts[g] += np.bincount(found[group[rows] == g], minlength=BUCKETS)
+                sizes += np.bincount(group, minlength=3)
+        at = np.flatnonzero(counts.any(axis=0))
+        raw, target, other = (np.append(c[at], n) for c, n in zip((counts.sum(axis=0), counts[1], counts[2]), (sizes.sum(), sizes[1], sizes[2]), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.append(at, -1), raw, target, other)], ["bucket", "raw", "target", "other"])
 
     return run
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
+def log_ratios(raw: np.ndarray, target: np.ndarray, other: np.ndarray, n_raw: int, n_target: int, n_other: int) -> np.ndarray:
+    """Smoothed log ratios of target to raw chances, shrunk by the evidence for them."""
     expected = raw * (n_target / max(1, n_raw))
     evidence = expected - target + target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9))
-    return np.where((LACK * (target + 1) < expected + 1) & (evidence > EVIDENCE), np.log((target + 1) / (expected + 1)), 0.0)
+    told, share = target + other, n_target / max(1, n_target + n_other)
+    due, due_other = told * share, told * (1 - share)
+    by_label = target * np.log(np.maximum(target, 1) / np.maximum(due, 1e-9)) + other * np.log(np.maximum(other, 1) / np.maximum(due_other, 1e-9))
+    agree = np.sign(due - target) == np.sign(expected - target)
+    evidence = np.where(expected > 0, np.maximum(evidence + np.where(agree, by_label, -by_label), 0), 0)
+    return np.log((target + 1) / (expected + 1)) * (evidence / (evidence + EVIDENCE)) ** 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELS) -> np.ndarray:
-    """The log ratio of each bucket."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log ratio of each bucket for each of ``groups``, the weighed row left out; known ids and whether they are good."""
     sc = docs.sparkSession.sparkContext
     known = np.array(sorted((r[0], r[1]) for r in sampled(labels, id_col, limit).collect()), np.int64).reshape(-1, 2)
-    shared = sc.broadcast((known[:, 0], known[:, 1].astype(bool)))
+    told = (np.ascontiguousarray(known[:, 0]), known[:, 1].astype(bool))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = arrow_map(rows, _counter(shared, "id"), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target, sizes = np.zeros(BUCKETS), np.zeros(BUCKETS), (0, 0)
+    counted = arrow_map(rows, _counter(sc.broadcast(told), "id"), "bucket long, raw long, target long, other long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "other")))
+    counts, sizes = np.zeros((3, BUCKETS)), (0, 0, 0)
     for r in counted.collect():  # BUCKETS + 1 rows at most
         if r.bucket < 0:
-            sizes = (r.raw, r.target)
+            sizes = (r.raw, r.target, r.other)
         else:
-            raw[r.bucket], target[r.bucket] = r.raw, r.target
-    return log_ratios(raw, target, *sizes) if sizes[1] else np.zeros(BUCKETS)
+            counts[:, r.bucket] = r.raw, r.target, r.other
+    if not sizes[1]:
+        return np.zeros((3, BUCKETS)), *told
+    out = []
+    for g in range(3):
+        own = np.array([1, g == 1, g == 2], float)
+        out.append(log_ratios(*np.maximum(counts - own[:, None], 0), *np.maximum(np.array(sizes) - own, 0)))
+    return np.array(out), *told
 
 
 def sampled(labels: DataFrame, id_col: str = "doc_id", limit: int = LABELS) -> DataFrame:
@@ -103,28 +124,27 @@ def sampled(labels: DataFrame, id_col: str = "doc_id", limit: int = LABELS) -> D
     return one.orderBy(F.xxhash64(id_col), id_col).limit(limit)
 
 
-def weights(data: np.ndarray, offs: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    rows, found = buckets(data, offs)
-    bad = np.flatnonzero(ratios[found] < 0)
-    rows, found = _present(rows[bad], found[bad])
-    return np.bincount(rows, ratios[found], minlength=len(offs) - 1).astype(float)
+def weights(data: np.ndarray, offs: np.ndarray, group: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    rows, found = _present(*buckets(data, offs))
+    total = np.bincount(rows, ratios[group[rows], found], minlength=len(offs) - 1).astype(float)
+    return total * np.sqrt(TYPICAL / np.maximum(np.bincount(rows, minlength=len(offs) - 1), 1))
 
 
-def _weigher(ratios, id_col: str):
+def _weigher(model, id_col: str):
     def run(batches):
-        against = ratios.value
+        ratios, *told = model.value
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
-                weight = weights(data, offs, against)
+                weight = weights(data, offs, groups(part.column(id_col), *told), ratios)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("h"), pa.array(weight)], [id_col, "h", "log_weight"])
 
     return run
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, log_weight); h: a hash of the text."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return arrow_map(rows, _weigher(shared, id_col), f"{id_col} {type_of(docs, id_col)}, h long, log_weight double")
 
 
@@ -189,14 +209,14 @@ def resample(weighed: DataFrame, k: int, id_col: str = "doc_id", seed: int = 0)
     return keyed.withColumn("kept", F.lit(True) if least is None else F.col("key") >= F.lit(least).cast("long")), least
 
 
-def _classified(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, int | None]:
-    ratios = fit(docs, labels)
-    weighed = checkpoint(weigh(docs, ratios))
+def _classified(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray], int | None]:
+    model = fit(docs, labels)
+    weighed = checkpoint(weigh(docs, model))
     # LABELS rows at most, but for repeated ids
     told = weighed.join(F.broadcast(sampled(labels)), "doc_id").select("log_weight", "good").toPandas()
-    cut = best_cut(told["log_weight"].to_numpy(float), told["good"].to_numpy(bool))
+    cut = min(0.0, best_cut(told["log_weight"].to_numpy(float), told["good"].to_numpy(bool)))
     kept, least = resample(weighed, weighed.where(F.col("log_weight") >= F.lit(cut)).count())
-    return kept, ratios, least
+    return kept, model, least
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,11 +224,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _classified(docs, labels)[0]
 
 
-def _selector(ratios, least: int, text_col: str, names: list[str]):
+def _selector(model, least: int, text_col: str, names: list[str]):
     def run(batches):
+        ratios, *told = model.value
         for batch in batches:
             for part, data, offs in slices(batch, text_col):
-                order = keys(weights(data, offs, ratios.value), part.column("__seed").to_numpy(zero_copy_only=False))
+                order = keys(weights(data, offs, groups(part.column("doc_id"), *told), ratios), part.column("__seed").to_numpy(zero_copy_only=False))
                 yield part.select(names).filter(pa.array(order >= least))
 
     return run
@@ -216,11 +237,11 @@ def _selector(ratios, least: int, text_col: str, names: list[str]):
 
 def keep_best(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that ``classify`` keeps, all columns; weighed once more in the scan rather than joined."""
-    _, ratios, least = _classified(docs, labels)
+    _, model, least = _classified(docs, labels)
     if least is None:
         return docs
     seed = seeds("doc_id", F.xxhash64(F.coalesce(text_col, F.lit(""))), 0)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return arrow_map(docs.withColumn("__seed", seed), _selector(shared, least, text_col, docs.columns), docs.schema)
 
 

@@ -165,6 +165,19 @@ def test_resampling(spark):
     assert resample.classify(docs.where("false"), marks).count() == 0
 
 
+def test_resampling_small_table(spark):
+    """So few target documents that no bucket is expected in more than 8.5 of them."""
+    rng = random.Random(6)
+    good, bad = [f"g{i}" for i in range(150)], [f"b{i}" for i in range(6)]
+    rows = [(i, " ".join(rng.choices(good, k=rng.randint(40, 160)) + (bad if i % 10 == 0 else []))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(160) if i // 10 % 2], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in resample.classify(docs, marks).collect()}
+    held_out = [i for i in range(160) if not i // 10 % 2]
+    assert not any(got[i] for i in held_out if i % 10 == 0)
+    assert np.mean([got[i] for i in held_out if i % 10]) > 0.9
+
+
 def test_top_k(spark):
     keyed = spark.createDataFrame(pd.DataFrame({"key": [5, -3, 2**62, 5, -(2**63), 0]}))
     assert [resample.kth_greatest(keyed, k) for k in range(1, 8)] == [2**62, 5, 5, 0, -3, -(2**63), None]
