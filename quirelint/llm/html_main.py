@@ -3,10 +3,12 @@
 A page is parsed once into blocks of text with the hashes of the element subtrees around each.
 What markup itself names as no article text (navigation, forms, adverts, comments, ...) is left out;
 the rest of the largest article, else of the main element, else of the body is the page's content.
-Subtrees inside it are counted per host in Spark, and those recurring on ``MIN_PAGES`` pages
-and a quarter of the host's are deleted. Copies of an article mustn't turn it into a template, so
-pages are told apart by what else they hold: a subtree's count is that of the distinct smallest
-hashes of the other blocks beside it.
+Subtrees inside it are counted per host in Spark, and those recurring on ``MIN_PAGES`` pages and a quarter of the host's are deleted.
+Copies of an article mustn't turn it into a template, so pages are told apart by all they hold outside
+the subtree: a subtree's count is that of the distinct sums of the other blocks' hashes. Near copies
+differ in these sums too; what is counted often enough is therefore counted again by the least hash of
+five words in the blocks that don't recur, which near copies mostly share, and deleted if that
+count is enough too and at least half of the first, however much else recurs on the same pages.
 
 A null html counts as empty and gives an empty text; a null url or one without a host makes up one
 host of its own; repeated rows give equal rows; other columns are not read.
@@ -17,14 +19,17 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, table, type_of
+from .common import WORD_PUNCT, arrow_map, checkpoint, table, type_of, windows
 
-MIN_PAGES, SHARE, BROADCAST_ROWS = 10, 0.25, 50_000
+MIN_PAGES, SHARE = 10, 0.25
+#: More subtrees than these are joined by host rather than broadcast.
+BROADCAST_ROWS = 4_000_000
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -201,53 +206,126 @@ def _content(found: list[tuple[str, _Element]]) -> list[tuple[str, list[int]]]:
     return [(text, [e.hash for e in p if e.name in BLOCK]) for text, p in blocks]
 
 
+SPACE = 1 << 63
+
+
 def _subtrees(batches):
     for batch in batches:
         hosts, hashes, rest = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks = content(page or "")
-            own = [xxhash.xxh3_64_intdigest(text) >> 1 for text, _ in blocks]
-            least = sorted(zip(own, range(len(own)), strict=True))
-            hosts.append(host)
-            hashes.append(-1)
-            rest.append(least[0][0] if least else 0)
-            inside: dict[int, set[int]] = {}
-            for k, (_, around) in enumerate(blocks):
-                for h in around:
-                    inside.setdefault(h, set()).add(k)
-            for h, ks in inside.items():
-                hosts.append(host)
-                hashes.append(h)
-                rest.append(next((x for x, k in least if k not in ks), 0))
+            own = [xxhash.xxh3_64_intdigest(text) for text, _ in blocks]
+            inside: dict[int, int] = {}
+            for x, (_, around) in zip(own, blocks, strict=True):
+                for h in set(around):
+                    inside[h] = inside.get(h, 0) + x
+            hosts += [host] * (1 + len(inside))
+            hashes += [-1, *inside]
+            whole = sum(own)
+            rest += [whole % SPACE, *((whole - x) % SPACE for x in inside.values())]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(rest, pa.int64())], ["host", "subtree", "rest"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, subtrees): the recurring subtrees of each host that has any.
+def least_windows(texts: list[str]) -> np.ndarray:
+    """The least hash of five neighbouring words of each text; of all of a shorter one, 0 without any."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, first = WORD_PUNCT.cut(data, np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64))
+    at, found = windows(WORD_PUNCT.hashes(data, starts, ends), first, 5)
+    row = np.repeat(np.arange(len(raw)), np.diff(first))[at]
+    least = np.full(len(raw), np.uint64(2**64 - 1))
+    np.minimum.at(least, row, found)
+    for k in np.flatnonzero(np.bincount(row, minlength=len(raw)) == 0):
+        least[k] = xxhash.xxh3_64_intdigest(raw[k]) if raw[k] else 0
+    return (least >> np.uint64(1)).astype(np.int64)
 
-    A page has few subtrees and a recurring one is on a quarter of the host's pages, so a host has
-    at most four times as many as its mean page.
-    """
-    seen = arrow_map(pages.select("host", "html"), _subtrees, "host string, subtree long, rest long")
-    counts = seen.groupBy("host", "subtree", "rest").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = checkpoint(counts.where((F.col("subtree") == -1) | (F.col("n") >= min_pages)))
-    whole = counts.where("subtree = -1").select("host", F.col("n").alias("pages"))
-    many = counts.where("subtree <> -1").join(whole, "host").where(F.col("n") >= F.col("pages") * share)
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
+
+def _key(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host)
+
+
+class Marked:
+    """Subtrees of hosts: a broadcast sorted array of their keys, or a column with those of the row's host."""
+
+    def __init__(self, found: DataFrame) -> None:
+        self.found = found.select("host", "subtree")
+        self.keys = None
+        if found.count() <= BROADCAST_ROWS:
+            rows = self.found.toPandas()
+            of = {h: _key(h) for h in rows["host"].unique()}
+            keys = np.array([of[h] for h in rows["host"]], np.uint64) + rows["subtree"].to_numpy(np.uint64)
+            self.keys = found.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        if self.keys is not None:
+            return rows.withColumn("subtrees", F.lit(None).cast("array<bigint>"))
+        return rows.join(self.found.groupBy("host").agg(F.collect_set("subtree").alias("subtrees")), "host", "left")
+
+    def test(self):
+        """A function of a host, its subtrees' column and a page's blocks: the blocks' marked subtrees."""
+        keys = self.keys
+
+        def marked(host: str, own: list[int] | None, blocks: list) -> set[int]:
+            seen = sorted({h for _, around in blocks for h in around})
+            if keys is None:
+                return set(own or ()).intersection(seen)
+            if not seen or not len(keys.value):
+                return set()
+            wanted = np.array(seen, np.uint64) + np.uint64(_key(host))
+            at = np.minimum(np.searchsorted(keys.value, wanted), len(keys.value) - 1)
+            return {seen[k] for k in np.flatnonzero(keys.value[at] == wanted)}
+
+        return marked
 
 
-BLOCKS = "array<struct<text:string,around:array<bigint>>>"
+def _parts(batch, marked):
+    """(host, marked subtrees, texts of blocks outside them) of each page."""
+    for host, page, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "subtrees")), strict=True):
+        blocks = content(page or "")
+        gone = marked(host, own, blocks)
+        yield host, gone, [text for text, around in blocks if gone.isdisjoint(around)]
 
 
-def _blocks(keep: list[str]):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+def _again(marked):
+    def run(batches):
+        for batch in batches:
+            hosts, gone, texts = zip(*_parts(batch, marked), strict=True) if batch.num_rows else ((), (), ())
+            least = least_windows([" ".join(t) for t in texts]) if texts else np.zeros(0, np.int64)
+            rows = [(host, h, x) for host, hs, x in zip(hosts, gone, least.tolist(), strict=True) for h in hs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "least"])
+
+    return run
+
+
+def needed(pages: Column, min_pages: int = MIN_PAGES, share: float = SHARE) -> Column:
+    return F.greatest(F.lit(min_pages), F.ceil(pages * share))
+
+
+def _distinct(seen: DataFrame, of: str) -> DataFrame:
+    return seen.groupBy("host", "subtree", of).agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, subtree) of the recurring subtrees."""
+    seen = arrow_map(pages.select("host", "html"), _subtrees, "host string, subtree long, rest long")
+    counts = checkpoint(_distinct(seen, "rest").where((F.col("subtree") == -1) | (F.col("n") >= min_pages)))
+    whole = counts.where("subtree = -1").select("host", F.col("n").alias("pages"))
+    many = counts.where("subtree <> -1").join(whole, "host").withColumn("needed", needed(F.col("pages"), min_pages, share)).where("n >= needed")
+    many = checkpoint(many.select("host", "subtree", F.col("n").alias("rests"), "needed"))
+    if many.isEmpty():
+        return many.select("host", "subtree")
+    marks = Marked(many)
+    again = arrow_map(marks.beside(pages.select("host", "html")), _again(marks.test()), "host string, subtree long, least long")
+    return _distinct(again, "least").join(many, ["host", "subtree"]).where("n >= needed AND 2 * n >= rests").select("host", "subtree")
+
 
+def _texts(keep: list[str], marked):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [[{"text": t, "around": a} for t, a in content(page or "")] for page in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, kind)], [*keep, "blocks"])
+                texts = ["\n".join(t) for _, _, t in _parts(part, marked)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return run
 
@@ -256,13 +334,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
     """(page_id, url, text)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    found = checkpoint(templates(rows, min_pages, share))
-    keep = ["page_id", "url", "host"]
-    blocks = arrow_map(rows, _blocks(keep), f"page_id {type_of(pages, 'page_id')}, url string, host string, blocks {BLOCKS}")
-    size = found.agg(F.coalesce(F.sum(F.size("subtrees")), F.lit(0))).first()[0]
-    joined = blocks.join(F.broadcast(found) if size <= BROADCAST_ROWS else found, "host", "left")
-    kept = F.filter("blocks", lambda b: F.col("subtrees").isNull() | ~F.arrays_overlap(b["around"], F.col("subtrees")))
-    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    marks = Marked(checkpoint(templates(rows, min_pages, share)))
+    return arrow_map(marks.beside(rows), _texts(["page_id", "url"], marks.test()), f"page_id {type_of(pages, 'page_id')}, url string, text string")
 
 
 def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
