@@ -3,7 +3,7 @@
 A page is parsed once into blocks of text with the hashes of the element subtrees around each.
 What markup itself names as no article text (navigation, forms, adverts, comments, ...) is left out;
 the rest of the largest article, else of the main element, else of the body is the page's content.
-Subtrees inside it are counted per host in Spark, and those recurring on ``MIN_PAGES`` pages and a quarter of the host's are deleted.
+Subtrees inside it are counted per host in Spark, and those recurring on ``needed`` pages are deleted.
 Copies of an article mustn't turn it into a template, so pages are told apart by all they hold outside
 the subtree: a subtree's count is that of the distinct sums of the other blocks' hashes. Near copies
 differ in these sums too; what is counted often enough is therefore counted again by the least hash of
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PUNCT, arrow_map, checkpoint, table, type_of, windows
 
-MIN_PAGES, SHARE = 10, 0.25
+#: Pages on which a subtree has to recur: half of a small host's, ``LEAST`` at least; then MIN_PAGES; then SHARE of the host's, up to ``ENOUGH``.
+LEAST, MIN_PAGES, SHARE, ENOUGH = 3, 10, 0.01, 100
 #: More subtrees than these are joined by host rather than broadcast.
 BROADCAST_ROWS = 4_000_000
 
@@ -298,7 +299,8 @@ def _again(marked):
 
 
 def needed(pages: Column, min_pages: int = MIN_PAGES, share: float = SHARE) -> Column:
-    return F.greatest(F.lit(min_pages), F.ceil(pages * share))
+    small = F.greatest(F.lit(LEAST), F.least(F.ceil(pages / 2), F.lit(min_pages)))
+    return F.greatest(small, F.least(F.ceil(pages * share), F.lit(ENOUGH)))
 
 
 def _distinct(seen: DataFrame, of: str) -> DataFrame:
@@ -308,7 +310,7 @@ def _distinct(seen: DataFrame, of: str) -> DataFrame:
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(host, subtree) of the recurring subtrees."""
     seen = arrow_map(pages.select("host", "html"), _subtrees, "host string, subtree long, rest long")
-    counts = checkpoint(_distinct(seen, "rest").where((F.col("subtree") == -1) | (F.col("n") >= min_pages)))
+    counts = checkpoint(_distinct(seen, "rest").where((F.col("subtree") == -1) | (F.col("n") >= min(LEAST, min_pages))))
     whole = counts.where("subtree = -1").select("host", F.col("n").alias("pages"))
     many = counts.where("subtree <> -1").join(whole, "host").withColumn("needed", needed(F.col("pages"), min_pages, share)).where("n >= needed")
     many = checkpoint(many.select("host", "subtree", F.col("n").alias("rests"), "needed"))

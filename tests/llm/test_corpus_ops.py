@@ -315,3 +315,14 @@ def test_templates_beside_templates(spark):
     texts = {r.page_id: r.text for r in html_main.extract(df).collect()}
     assert all(texts[i].count("\n") == 7 and "Imprint" not in texts[i] and "Header" not in texts[i] for i in range(31))
     assert all(texts[i].count("\n") == 7 for i in range(100, 140))
+
+
+def test_templates_of_small_hosts_and_sections(spark):
+    rng = random.Random(12)
+    own = lambda: f"<p>{' '.join(rng.choices([f'w{k}' for k in range(300)], k=30))}</p>"
+    box = "<div><p>Notice of this section</p></div>"
+    pages = [(i, f"https://small.org/{i}", f"<body>{box}{own()}{own()}") for i in range(4)]
+    pages += [(i, f"https://large.org/{i}", f"<body>{box if i % 20 == 0 else ''}{own()}{own()}") for i in range(100, 500)]
+    pages += [(i, f"https://pair.org/{i}", f"<body>{box if i < 602 else ''}{own()}{own()}") for i in range(600, 604)]
+    texts = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i for i, t in texts.items() if "Notice" in t} == {600, 601} and all(t.count("\n") == 1 for i, t in texts.items() if i not in (600, 601))
