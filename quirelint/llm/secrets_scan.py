@@ -3,7 +3,8 @@
 Base patterns give candidate spans; the method then decodes base64 and hex runs and reports
 those whose bytes hold together: DER sequences whose nested lengths fill their parents, OpenSSH
 private keys whose length-prefixed fields follow the magic, PEM blocks around such bytes, and
-signed tokens whose header is JSON with an algorithm and whose claims are JSON.
+signed tokens whose header is JSON with an algorithm and whose claims are JSON. Runs may be wrapped over
+lines, in JSON strings too (a backslash and n); a key may start anywhere in a run and ends with one of its lines.
 
 Positions are code points of the whole text, ends exclusive. Null texts count as empty;
 repeated rows give equal rows; other columns are not read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,9 +34,15 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones may be passed over by the pattern
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----((?:[A-Za-z0-9+/=\s]|\\[nrt/])+)-----END \1-----")
+#: lines of 16 letters at least, but for the last; in JSON strings / may be escaped too
+BREAK = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+BASE64 = re.compile(rf"(?:[A-Za-z0-9+_-]|\\?/){{16,}}+(?:{BREAK}(?:[A-Za-z0-9+_-]|\\?/){{16,}}+)*+(?:{BREAK}(?:[A-Za-z0-9+_-]|\\?/)++)?={{0,2}}")
+LETTERS = re.compile(rf"{BREAK}|(?:[A-Za-z0-9+/_-]|\\(?=/))+")
+#: what 0x30 and a length of 22 or more, or the magic, begin with
+KEY_START = re.compile(r"(?=M[B-I])|(?=b3BlbnNzaC1rZXktdjEA)")
+ANY_HEX = re.compile(r"[0-9a-fA-F]{48,}")
+HEX_START = re.compile(r"(?i:(?=30[1-7][0-9a-f]|308[1-4])|(?=6f70656e7373682d6b65792d763100))")
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -102,7 +110,7 @@ def key_kind(data: bytes) -> str | None:
 
 def unbase64(text: str) -> bytes | None:
     """Either alphabet, padded or not; None if it can't be base64."""
-    text = re.sub(r"\s+", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = re.sub(r"\s+|\\[nrt]|\\(?=/)", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(text) % 4 == 1:
         return None
     try:
@@ -127,6 +135,67 @@ def is_signed_token(text: str) -> bool:
     return not signature if head["alg"].lower() == "none" else bool(unbase64(signature))
 
 
+def _size(head: bytes) -> int:
+    """Bytes of the DER key that starts so, 0 if none does."""
+    if len(head) < 7 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _openssh_size(part, limit: int) -> int:
+    """Bytes of the OpenSSH key of which ``part(n)`` gives the first n, 0 if none of up to ``limit`` bytes is there."""
+    at = len(OPENSSH)
+    for k in range(6):
+        head = part(at + 4)[at : at + 4]
+        at += 4 + (int.from_bytes(head, "big") if k != 3 else 0)
+        if len(head) < 4 or at > limit:
+            return 0
+    return at
+
+
+def _keys(letters: str, ends: list[int], starts: re.Pattern, decoded, width: tuple[int, int]):
+    """(kind, start, end) of keys in a run, each up to one of ``ends``; ``width``: so many letters hold so many bytes."""
+    per, of = width
+    done = 0
+    for m in starts.finditer(letters):
+        at = m.start()
+        if at < done:
+            continue
+        if letters[at] in "M3":
+            size = _size(decoded(letters[at : at + 8 * per]) or b"")
+        else:
+            size = _openssh_size(lambda n, at=at: decoded(letters[at : at + -(-n // of) * per]) or b"", (len(letters) - at) * of // per)
+        k = bisect.bisect_left(ends, at - (-size * per // of))
+        if size < 24 or k == len(ends) or letters[at] in "M3" and ends[k] - at >= -(-(size + 1) * per // of):
+            continue
+        if kind := key_kind(decoded(letters[at : ends[k]]) or b""):
+            yield kind, at, ends[k]
+            done = ends[k]
+
+
+def _unhex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
+def _base64_keys(text: str, start: int, end: int):
+    places, ends = [], []
+    for m in LETTERS.finditer(text, start, end):
+        if text[m.start()] in " \t\r\n" or text[m.start()] == "\\" and text[m.start() + 1 : m.start() + 2] != "/":
+            ends.append(len(places))
+        else:
+            places += [i for i in range(*m.span()) if text[i] != "\\"]
+    ends.append(len(places))
+    letters = "".join([text[i] for i in places])
+    for kind, a, b in _keys(letters, ends, KEY_START, unbase64, (4, 3)):
+        to = places[b - 1] + 1
+        while to < len(text) and text[to] == "=" and to < places[b - 1] + 3:
+            to += 1
+        yield kind, places[a], to
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "eyJ" in text:
@@ -134,13 +203,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         out += [("pem", *m.span()) for m in PEM.finditer(text) if key_kind(unbase64(m[2]) or b"")]
     inside = [s[1:] for s in out if s[0] == "pem"]
-    for pattern, decoded in ((BASE64, unbase64), (ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in inside) or (pattern is BASE64 and not m[0].startswith(("M", "b3Blbn"))):
-                continue  # base64 of 0x30 starts with M, that of the magic with b3Blbn
-            if kind := key_kind(decoded(m[0]) or b""):
-                out.append((kind, *m.span()))
-    return out
+    found = [k for m in BASE64.finditer(text) if KEY_START.search(m[0]) for k in _base64_keys(text, *m.span())]
+    for m in ANY_HEX.finditer(text):
+        found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys(m[0], [len(m[0])], HEX_START, _unhex, (2, 1))]
+    return out + [k for k in found if not any(a <= k[1] < b for a, b in inside)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

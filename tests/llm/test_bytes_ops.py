@@ -74,6 +74,33 @@ def test_secrets():
     assert ("pem", 3, 3 + len(pem)) in secrets_scan.confirmed_spans("a: " + pem)
 
 
+def test_wrapped_and_glued_keys():
+    import base64
+    import json
+    import struct
+
+    parts = b"".join(b"\x02\x20" + bytes([k % 100 + 1]) * 32 for k in range(5))
+    key = b"\x30\x81" + bytes([len(parts)]) + parts
+    field = lambda x: struct.pack(">I", len(x)) + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(field(b"ssh-ed25519") + field(bytes(32))) + field(bytes(130))
+    for data, kind in ((key, "der"), (ssh, "openssh")):
+        flat = base64.b64encode(data).decode()
+        lines = "\n".join(flat[i : i + 64] for i in range(0, len(flat), 64))
+        pem = f"-----BEGIN KEY-----\n{lines}\n-----END KEY-----\n"
+        for around in ("{}", "key/{}", "a-{}", "a_{} b", "x{}"):
+            a = around.index("{")
+            for body in (flat, lines, lines.replace("\n", "\\n"), lines.replace("\n", "\r\n  ")):
+                assert (kind, a, a + len(body)) in secrets_scan.confirmed_spans(around.format(body)), (kind, around, body)
+        for string in (json.dumps({"k": pem}), json.dumps({"k": pem}).replace("/", "\\/")):
+            a, b = string.index("-----BEGIN"), string.index("KEY-----\\n\"") + len("KEY-----")
+            assert ("pem", a, b) in secrets_scan.confirmed_spans(string)
+        bare = json.dumps({"k": "\n" + lines + "\n"})
+        assert (kind, bare.index("\\n") + 2, bare.rindex("\\n")) in secrets_scan.confirmed_spans(bare)
+        mixed = data.hex()[:60] + data.hex()[60:].upper()
+        assert (kind, 1, 1 + len(mixed)) in secrets_scan.confirmed_spans(" " + mixed)
+    assert not secrets_scan.confirmed_spans("\n".join(["M" * 64] * 40)) and not secrets_scan.confirmed_spans("30" * 60)
+
+
 def test_secret_rows(spark):
     docs = spark.createDataFrame([(1, "secret=abcdef", 0), (2, None, 0), (2, None, 0), (3, "plain", 1)], "doc_id long, text string, spans int")
     got = {(r.doc_id, r.n_assign, r.base_sha256, r.spans) for r in secrets_scan.scan(docs).collect()}
