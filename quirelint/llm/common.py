@@ -2,19 +2,22 @@
 
 Tokens are hashed without a Python loop. With S the running sum of code[byte] * B**position
 (modulo 2**64, B odd), a token's hash is (S[end] - S[start]) * B**-start; windows of tokens
-are hashed the same way over the token hashes. Batches are cut to whole rows of about
+are hashed the same way over the token hashes. Sums modulo a power of two can be made to collide from 1,024
+letters on, whatever B is, so tokens of ``LONG`` bytes or more get another hash. Batches are cut to whole rows of about
 ``SLICE_BYTES``, so memory follows the longest text, not the partition.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ SLICE_BYTES = 500_000
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: symbols hashed at a time, whatever the length of a text
 PIECE = 2 * SLICE_BYTES
+#: bytes from which a token is hashed by itself
+LONG = 128
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -47,22 +52,33 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the session's checkpoint folder, so that lost executors cost no recomputation.
 
-    A folder of our own is set only where the session names none (tests).
+    The context's cleaner deletes it when nothing refers to it (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set here only where the session names none (tests)."""
+    """The session's checkpoint folder; a temporary one is set only where the session names none and runs on one machine (tests)."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{os.environ.get('TMPDIR', '/tmp')}/quirelint-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quirelint-")
+        sc.setCheckpointDir(folder)
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -139,7 +155,7 @@ class Tokens:
     """How bytes form tokens. classes: byte -> 0 separator, else the token's kind; fold: byte -> byte."""
 
     def __init__(self, classes: np.ndarray, lower: bool) -> None:
-        self.classes = classes
+        self.classes, self.lower = classes, lower
         fold = np.arange(256)
         if lower:
             fold[65:91] += 32
@@ -166,6 +182,9 @@ class Tokens:
             sums = BYTES_BASE.sums(self.codes[data[base : ends[to - 1]]])
             out[at:to] = BYTES_BASE.spans(sums, starts[at:to] - base, ends[at:to] - base)
             at = to
+        for i in np.flatnonzero(ends - starts >= LONG).tolist():
+            token = data[starts[i] : ends[i]].tobytes()
+            out[i] = xxhash.xxh3_64_intdigest(token.lower() if self.lower else token)
         return out + (ends - starts).astype(np.uint64)
 
 

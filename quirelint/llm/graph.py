@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpoint
 
+#: edges contracted at a time
+EDGES = 2_000_000
+
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, the smallest node that these edges link each with)."""
@@ -27,17 +30,27 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(batches):
-    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
-    if parts:
+    parts, held = [], 0
+
+    def stars():
         nodes, roots = contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         own = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(roots[own]), pa.array(nodes[own])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(roots[own]), pa.array(nodes[own])], ["a", "b"])
+
+    for x in batches:
+        parts.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+        held += x.num_rows
+        if held >= EDGES:
+            yield stars()
+            parts, held = [], 0
+    if held:
+        yield stars()
 
 
 def components(edges: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
     """(node, root): the smallest node reachable, for every node that ``edges`` (a, b: long) link with another.
 
-    Each partition's edges are contracted to stars first, so chains are short. Then each round takes the smallest label of a node
+    Edges are contracted to stars first, ``EDGES`` of a partition at a time, so chains are short. Then each round takes the smallest label of a node
     and its neighbours, and that label's own label. A hub's rows are pre-aggregated (min) or split as a skewed join.
     """
     stars = arrow_map(edges.select("a", "b"), _contracted, "a long, b long")

@@ -6,7 +6,8 @@ all documents share, rarest first, two sets of similarity t or more share one of
 five-byte prints by bucket (``repeats``), and back comes how many there are, by powers of two; one that only one class has
 joins nobody, so a document of a quarter own shingles has no candidates. Classes that share a prefix shingle are chained by
 size, where neighbours are of sizes that can be similar; chained classes form a cluster, and only clusters are compared, a
-cluster or a pack of small ones at a time.
+cluster or a pack of small ones at a time. A batch chains its own classes and sends of each shingle only the chains, each with its least and
+greatest size, so a hot shingle costs its bucket some entries a batch, however many classes have it.
 
 In a task the sets are the leaves of a signature tree, whose nodes hold the OR of token bitmaps,
 the most tokens that bitmaps hide by collision, and size ranges. A dual traversal goes down from the
@@ -19,7 +20,8 @@ then the leaders of what they found with each other, and then every set outside
 largest component with all blocks: pairs inside a component need no comparison.
 
 Texts that are null or without words have an empty set and link with nothing, like rows with a null id (whose
-component is null); repeated rows give equal rows; other columns are not read.
+component is null); repeated rows give equal rows; other columns are not read; an empty table gives an empty one, and a very
+long text is hashed in pieces.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_WORDS, arrow_map, checkpoint, mix, slices, table, windows
 from .graph import components, contract
-from .repeats import ASK, TELL, Entries, _answer, _ask, _buckets, _of, by_bucket, count_in, deal, pack, unpack
+from .repeats import ASK, TELL, Entries, _answer, _ask, _buckets, _of, by_bucket, count_in, deal, pack, place_of, text_hash, unpack
 
 K, PERCENT, PRINT, MAX_SETS, MAX_TOKENS, FAN = 5, 75, 5, 2000, 2_000_000, 8
 
@@ -71,7 +73,7 @@ def _classes(k: int):
                 n.append(len(tokens))
                 c1.append(x)
                 c2.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["id", "n", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["id", "h", "n", "c1", "c2"])
 
     return run
 
@@ -136,31 +138,65 @@ class _Batch:
         return tuple(map(np.concatenate, (tokens, classes, sizes)))
 
 
+def chained(tokens: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an entry and the next, sorted by token and least size, are of one token and have sizes near enough for a chain."""
+    token = np.cumsum(np.append(False, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    wide = most.max() + 1 if len(most) else 1
+    reach = np.maximum.accumulate(token * wide + most) - token * wide  # the greatest size so far
+    return (tokens[1:] == tokens[:-1]) & (100 * reach[:-1] >= percent * least[1:])
+
+
 def _ask_clusters(k: int, percent: int, n: int):
+    """Links inside the batch, and of each prefix shingle its chains: (shingle, a class, least and greatest size)."""
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _ask([])
-        found = _Batch(texts, k).prefixes(Entries.by_step(answers), n, percent)
-        order = np.argsort(found[0], kind="stable")
-        found = [x[order] for x in found]
+        tokens, classes, sizes = _Batch(texts, k).prefixes(Entries.by_step(answers), n, percent)
+        order = np.lexsort((classes, sizes, tokens))
+        tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+        link = chained(tokens, sizes, sizes, percent)
+        links = np.stack(stars(classes[:-1][link], classes[1:][link]))
+        head = np.flatnonzero(np.append(True, ~link)) if len(tokens) else np.zeros(0, np.int64)
+        last = np.append(head[1:] - 1, len(tokens) - 1) if len(tokens) else head
+        found = tokens[head], classes[head], sizes[head], sizes[last]
         order, parts = by_bucket(found[0], n)
-        return _ask([(b, _of(texts), b"".join(x[order[i:j]].tobytes() for x in found)) for b, i, j in parts])
+        none = np.zeros((2, 0), np.int64)
+        rows = []
+        for i, (b, x, y) in enumerate(parts):
+            own = none if i else links
+            rows.append((b, _of(texts), b"".join([np.array([own.shape[1]], np.int64).tobytes(), own.tobytes(), *(c[order[x:y]].tobytes() for c in found)])))
+        return _ask(rows)
 
     return run
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links contracted: (the smallest of a part, another of it)."""
+    nodes, roots = contract(a, b)
+    own = nodes != roots
+    return roots[own], nodes[own]
+
+
 def _stars(percent: int):
     """Classes that share a shingle and whose sizes allow similarity from one to the next, contracted: each linked with the smallest that the bucket links it with."""
 
     def run(batches):
         for _, _, blobs in _buckets(batches):
-            tokens, classes, sizes = (np.concatenate([np.frombuffer(x, t, len(x) // 24, j * (len(x) // 3)) for x in blobs]) for j, t in enumerate((np.uint64, np.int64, np.int64)))
-            order = np.lexsort((classes, sizes, tokens))
-            tokens, classes, sizes = tokens[order], classes[order], sizes[order]
-            link = (tokens[1:] == tokens[:-1]) & (classes[1:] != classes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
-            nodes, roots = contract(classes[:-1][link], classes[1:][link])
-            own = nodes != roots
-            yield pa.RecordBatch.from_arrays([pa.array(roots[own]), pa.array(nodes[own])], ["a", "b"])
+            links, found = [], [[], [], [], []]
+            for x in blobs:
+                m = int(np.frombuffer(x, np.int64, 1)[0])
+                links.append(np.frombuffer(x, np.int64, 2 * m, 8).reshape(2, m))
+                rest = (len(x) - 8 - 16 * m) // 32
+                for j, (part, t) in enumerate(zip(found, (np.uint64, np.int64, np.int64, np.int64), strict=True)):
+                    part.append(np.frombuffer(x, t, rest, 8 + 16 * m + 8 * rest * j))
+            tokens, classes, least, most = map(np.concatenate, found)
+            order = np.lexsort((classes, most, least, tokens))
+            tokens, classes, least, most = tokens[order], classes[order], least[order], most[order]
+            link = chained(tokens, least, most, percent) & (classes[1:] != classes[:-1])
+            links.append(np.stack([classes[:-1][link], classes[1:][link]]))
+            a, b = stars(*np.concatenate(links, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -321,18 +357,18 @@ def _in_blocks(sets: DataFrame, percent: int, max_sets: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_sets: int = MAX_SETS) -> DataFrame:
     """(id, n, c1, c2, component): component is the smallest id reachable by links; (c1, c2) the class."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classes = checkpoint(arrow_map(rows, _classes(k), "id long, n long, c1 long, c2 long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    classes = checkpoint(arrow_map(rows, _classes(k), "id long, h long, n long, c1 long, c2 long"))
     texts, n = deal(docs, id_col, text_col)
     sorted_by_bucket = lambda asked: asked.repartition("bucket").sortWithinPartitions("bucket")
     asked = texts.groupBy("batch").applyInArrow(_ask_tokens(k, n), ASK)
     answers = arrow_map(sorted_by_bucket(asked), _answer(1, rarity), TELL)
     asked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_clusters(k, percent, n), ASK)
     clusters = components(arrow_map(sorted_by_bucket(asked), _stars(percent), "a long, b long"), "c1", "cluster")
-    reps = classes.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    members = checkpoint(clusters.join(reps, "c1").select("cluster", "rep", "c1", "n"))
+    reps = classes.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("n").alias("n")).select("c1", "c2", F.col("rep.id").alias("rep"), F.col("rep.h").alias("h"), "n")
+    members = checkpoint(clusters.join(reps, "c1").select("cluster", "rep", "h", "c1", "n"))
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / max_sets), F.ceil(F.sum("n") / MAX_TOKENS)).alias("blocks"))
-    batch = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("batch")
+    batch = place_of(F.col("rep"), F.col("h"), n).alias("batch")
     wanted = members.join(sizes, "cluster").select("cluster", "blocks", "rep", "c1", batch)
     sets = checkpoint(texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_fetch(k), SETS))
     packs = max(1, members.count() // 500)

@@ -1,49 +1,53 @@
 """What the two substring operators share: repeated windows of ``length`` symbols across documents.
 
-Seeds. Of the k-grams in a window the one of smallest hash is its anchor (winnowing), so equal
-windows have equal anchors. Consecutive windows with one anchor are a run; two runs are of one
-class if anchor and all their symbols are equal. Documents are dealt by id into batches of some MB.
-Each question that one batch can't answer alone goes out as packed, sorted arrays, split by hash
-into buckets, and the answers come back as bits in the same order:
-
-1. Which anchors are in several documents?
-2. For runs with such an anchor: is the class in a document with a smaller id? Is the anchor in
-   several classes? If not, the class's first document has nothing in common with smaller ones.
-3. What is left, the classes' first occurrences that share an anchor but not the whole run (the ends of
-   repeated passages), is extended both ways from the anchor: window by window, by hash, or, for the
-   byte operator, in a block index of the bucket (``suffixes``).
-
-An entry is sent once a batch however often it occurs, so a hot key costs a bucket one entry a
-batch. The texts are shuffled once, by batch; all steps read that exchange.
+Seeds. Of the k-grams in a window the leftmost of smallest hash is its anchor (winnowing), so equal
+windows have equal anchors at equal places. Consecutive windows with one anchor are a run. Documents
+are dealt by id and text into batches of some MB. Each question that one batch can't answer alone goes
+out packed by hash into buckets, and the answers come back as bits in the same order:
+
+1. Which anchors are in several documents? Which are hot, with very many different runs?
+2. Of every shared anchor each batch sends its different runs, symbols and all, with the smallest id
+   that holds them. A bucket compares the runs of an anchor symbol by symbol (by extension from the
+   anchor, ``substrings``; in a block index, ``suffixes``) and tells of each window whether a
+   smaller id has it.
+
+Hashes only bring runs together; nothing is removed unless its symbols were compared, in a bucket or,
+for repeats inside a batch, as bytes. An entry is sent once a batch however often it occurs, so a hot
+run costs a bucket one entry a batch. A hot anchor's windows are dealt one by one, by their own hash. The
+texts are shuffled once, by batch; all steps read that exchange.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix, windows
+from .common import PIECE, WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix
 
-#: bytes of input that a batch has at least, as the planner estimates them; a batch grows with the root of the input
-BATCH = 1 << 20
-#: classes of an anchor from which its windows are compared by hash, one by one, rather than in a block
-HOT = 2000
+#: bytes of input that a batch has at least and at most, as the planner estimates them; between, a batch grows with the root of the input
+BATCH, LARGEST = 1 << 20, 32 << 20
+#: different runs of an anchor, beyond one a batch, from which its windows are dealt one by one
+HOT = 4000
+#: bytes of runs that a bucket compares at a time, more only for one key
+BLOCK = 1 << 19
 BYTE_CODES = splitmix(256, 3)
 
 
 @dataclass
 class Symbols:
-    """What a text's symbols are: bytes, or words if ``tokens`` is set."""
+    """What a text's symbols are: bytes, or words if ``tokens`` is set; ``judge`` tells windows that smaller ids have (``Block``)."""
 
     length: int
     k: int
+    judge: Callable[[Block], np.ndarray]
     tokens: Tokens | None = None
-    index: Callable | None = None
 
     def codes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, index of each row's first symbol and of the end): bytes as they are, words as hashes."""
@@ -53,63 +57,87 @@ class Symbols:
         return self.tokens.hashes(data, starts, ends), first
 
 
+@dataclass
+class Block:
+    """Runs to compare: their joined bytes (words joined by spaces, a space after each run), the bytes, windows, smallest id of each, and the anchor's place in it."""
+
+    texts: bytes
+    size: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    at: np.ndarray
+    length: int
+    k: int
+
+
 @dataclass
 class Runs:
     row: np.ndarray
     start: np.ndarray  # symbol of the row
     n: np.ndarray  # windows
+    at: np.ndarray  # the anchor's first symbol, from the start
     anchor: np.ndarray
-    content: np.ndarray
+    content: np.ndarray  # a hash, to count different runs
+
+    def take(self, which: np.ndarray) -> Runs:
+        return Runs(*(x[which] for x in (self.row, self.start, self.n, self.at, self.anchor, self.content)))
 
 
 def hashed(codes: np.ndarray) -> np.ndarray:
     return BYTE_CODES[codes] if codes.dtype == np.uint8 else codes
 
 
-def find_runs(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, first symbol in the row, windows, anchor, content) of each run.
+def anchors_of(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest of each w neighbours, place of the leftmost such)."""
+    least, at, size = grams, np.arange(len(grams), dtype=np.int32), 1
+    while size < w:
+        step = min(size, w - size)
+        left = least[:-step] <= least[step:]
+        least, at = np.where(left, least[:-step], least[step:]), np.where(left, at[:-step], at[step:])
+        size += step
+    return least, at
+
 
-    Long input is taken in overlapping pieces. A run across two of them comes as two, which changes classes but no answer:
-    every window is still in one run, and runs of one anchor and different contents are compared window by window.
-    """
+def find_runs(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> Runs:
+    """Long input is taken in overlapping pieces. A run across two of them comes as two, which changes no answer: every window is still in one run."""
     n = len(codes)
     if n > PIECE + length:
         parts = []
         for a in range(0, n - length + 1, PIECE):
             part = codes[a : a + PIECE + length - 1]
             own = np.clip(first - a, 0, len(part))
-            row, start, *rest = find_runs(part, own, length, k)
-            parts.append((row, start + own[row] + a - first[row], *rest))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            r = find_runs(part, own, length, k)
+            r.start = r.start + own[r.row] + a - first[r.row]
+            parts.append(r)
+        return join_runs(parts)
     codes = hashed(codes)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return Runs(*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2)
     sums = WINDOW_BASE.sums(codes)
-    least = (sums[k:] - sums[:-k]) * WINDOW_BASE.down[: n - k + 1]
-    size, w = 1, length - k + 1
-    while 2 * size <= w:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < w:
-        least = np.minimum(least[: size - w], least[w - size :])
+    least, at = anchors_of((sums[k:] - sums[:-k]) * WINDOW_BASE.down[: n - k + 1], length - k + 1)
     row_end = np.repeat(first[1:], np.diff(first))[: n - length + 1]
     ok = np.arange(length, n + 1) <= row_end
     new = ok.copy()
-    new[1:] &= ~ok[:-1] | (least[1:] != least[:-1])
+    new[1:] &= ~ok[:-1] | (at[1:] != at[:-1])
     last = ok.copy()
     last[:-1] &= ~ok[1:] | new[1:]
     start, stop = np.flatnonzero(new), np.flatnonzero(last)
     row = np.searchsorted(first, start, "right") - 1
-    return row, start - first[row], stop - start + 1, least[start], WINDOW_BASE.spans(sums, start, stop + length)
+    return Runs(row, start - first[row], stop - start + 1, at[start] - start, least[start], WINDOW_BASE.spans(sums, start, stop + length))
+
+
+def join_runs(parts: list[Runs]) -> Runs:
+    return Runs(*(np.concatenate(x) for x in zip(*((r.row, r.start, r.n, r.at, r.anchor, r.content) for r in parts), strict=True)))
 
 
 def batch_runs(rows: pa.RecordBatch, symbols: Symbols) -> Runs:
-    parts, at = [], 0
+    parts, at = [find_runs(np.zeros(0, np.uint64), np.zeros(1, np.int64), symbols.length, symbols.k)], 0
     for part, data, offs in slices(rows, "text"):
-        row, *rest = find_runs(*symbols.codes(data, offs), symbols.length, symbols.k)
-        parts.append((row + at, *rest))
+        r = find_runs(*symbols.codes(data, offs), symbols.length, symbols.k)
+        r.row = r.row + at
+        parts.append(r)
         at += part.num_rows
-    return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Runs(*find_runs(np.zeros(0, np.uint64), np.zeros(1, np.int64), symbols.length, symbols.k))
+    return join_runs(parts)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,11 +145,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (_mixed(hashes) % np.uint64(n_buckets)).astype(np.int64)
+
+
 def by_bucket(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(order that puts hashes, sorted already, together by bucket; (bucket, from, to) in that order)."""
     if not len(hashes):
         return np.zeros(0, np.int64), []
-    bucket = (_mixed(hashes) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = bucket_of(hashes, n_buckets)
     order = np.argsort(bucket, kind="stable")
     found, start = np.unique(bucket[order], return_index=True)
     return order, list(zip(found.tolist(), start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True))
@@ -136,15 +168,18 @@ def unpack(blob: bytes, n: int, k: int = 1) -> list[np.ndarray]:
     return [np.unpackbits(np.frombuffer(blob, np.uint8, size, j * size), count=n).astype(bool) for j in range(k)]
 
 
-def told(answers: dict[tuple[int, int], bytes], step: int, hashes: np.ndarray, n_buckets: int, k: int = 1) -> list[np.ndarray]:
-    """A step's flags of a batch's entries, which are sorted as they were when it asked."""
-    out = [np.zeros(len(hashes), bool) for _ in range(k)]
-    order, parts = by_bucket(hashes, n_buckets)
-    for bucket, a, b in parts:
-        if blob := answers.get((step, bucket)):
-            for x, flags in zip(out, unpack(blob, b - a, k), strict=True):
-                x[order[a:b]] = flags
-    return out
+def within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n[0] - 1, 0, 1, ..."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+#: a power of two as a byte, in eighths
+def as_level(count: np.ndarray) -> np.ndarray:
+    return np.round(8 * np.log2(count)).astype(np.uint8)
+
+
+def level_of(code: np.ndarray) -> np.ndarray:
+    return np.exp2(code / 8)
 
 
 class Entries:
@@ -153,11 +188,10 @@ class Entries:
     def __init__(self, table: pa.Table, answers: pa.Table | None, symbols: Symbols, n_buckets: int) -> None:
         self.symbols, self.n_buckets = symbols, n_buckets
         self.rows = self.batch(table)
-        self.has_id = self.rows.column("id").is_valid().to_numpy(zero_copy_only=False)
+        has_id = self.rows.column("id").is_valid().to_numpy(zero_copy_only=False)
         self.ids = self.rows.column("id").fill_null(0).to_numpy()
-        r = batch_runs(self.rows, symbols)
-        keep = self.has_id[r.row]
-        self.runs = Runs(*(x[keep] for x in (r.row, r.start, r.n, r.anchor, r.content)))
+        runs = batch_runs(self.rows, symbols)
+        self.runs = runs.take(has_id[runs.row])
         self.answers = self.by_step(answers)
 
     @staticmethod
@@ -171,80 +205,94 @@ class Entries:
             return {}
         return {(s, b): x for s, b, x in zip(*(answers.column(c).to_pylist() for c in ("step", "bucket", "blob")), strict=True)}
 
-    def told(self, step: int, hashes: np.ndarray, k: int = 1) -> list[np.ndarray]:
-        return told(self.answers, step, hashes, self.n_buckets, k)
-
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct anchors, entry of each run, whether an anchor is in several of the batch's documents)."""
-        anchors, entry = np.unique(self.runs.anchor, return_inverse=True)
-        ids = self.ids[self.runs.row]
-        low, high = np.full(len(anchors), 2**63 - 1), np.full(len(anchors), -(2**63))
-        np.minimum.at(low, entry, ids)
-        np.maximum.at(high, entry, ids)
-        return anchors, entry, low < high
-
-    def classes(self) -> None:
-        """Keeps runs with shared anchors; groups them into classes, sorted by anchor and content."""
-        anchors, entry, several = self.anchors()
-        shared = (self.told(1, anchors)[0] | several)[entry]
+        """(distinct anchors, how many different runs each has, whether an anchor is in several of the batch's documents)."""
         r = self.runs
-        self.runs = r = Runs(*(x[shared] for x in (r.row, r.start, r.n, r.anchor, r.content)))
-        order = np.lexsort((self.ids[r.row], r.content, r.anchor))
+        order = np.lexsort((r.content, r.anchor))
         a, c = r.anchor[order], r.content[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])) if len(order) else np.zeros(0, bool)
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        first = order[new]  # of each class, a run of the smallest id
-        self.anchor, self.content, self.low, self.sample = r.anchor[first], r.content[first], self.ids[r.row[first]], first
-
-    def judge(self) -> None:
-        """Which runs are covered as a whole, and which classes' first occurrences are left to extend."""
-        full, several, hot = self.told(2, self.anchor, 3)
-        self.covered = full[self.entry] | (self.ids[self.runs.row] > self.low[self.entry])
-        by_hash = np.ones(len(hot), bool) if self.symbols.index is None else hot
-        left = several & ~full
-        self.by_hash, self.by_index = np.flatnonzero(left & by_hash), np.flatnonzero(left & ~by_hash)
-
-    def contexts(self, entries: np.ndarray) -> list[bytes]:
-        """The symbols of the entries' runs: as many windows as runs have."""
-        run = self.sample[entries]
-        row, start, n = self.runs.row[run], self.runs.start[run], self.runs.n[run]
-        size = n + self.symbols.length - 1
-        out: list[bytes] = [b""] * len(entries)
-        for i in np.argsort(row, kind="stable"):
-            if self.symbols.tokens is None:
-                out[i] = self._bytes(int(row[i]))[start[i] : start[i] + size[i]].tobytes()
-            else:
-                a, b = self._words(int(row[i]))
-                out[i] = self._bytes(int(row[i]))[a[start[i]] : b[start[i] + size[i] - 1]].tobytes()
-        return out
-
-    def _bytes(self, row: int) -> np.ndarray:
-        buffer = self.rows.column("text")[row].as_buffer()
-        return np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-
-    _cached: tuple[int, tuple] = (-1, ())
-
-    def _words(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        if self._cached[0] != row:
-            data = self._bytes(row)
-            self._cached = (row, self.symbols.tokens.cut(data, np.array([0, len(data)]))[:2])
-        return self._cached[1]
-
-    def window_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows compared by hash: (distinct hashes, smallest id of each, place of every window of the entries, in order)."""
-        texts = self.contexts(self.by_hash)
-        sep = b"" if self.symbols.tokens is None else b" "
-        offs = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(x) + len(sep) for x in texts], out=offs[1:])
-        data = np.frombuffer(b"".join(x + sep for x in texts), np.uint8)
-        codes, first = self.symbols.codes(data, offs)
-        _, hashes = windows(hashed(codes), first, self.symbols.length)
-        owner = np.repeat(self.low[self.by_hash], self.runs.n[self.sample[self.by_hash]])
-        found, place = np.unique(hashes, return_inverse=True)
-        low = np.full(len(found), 2**63 - 1)
-        np.minimum.at(low, place, owner)
-        return found, low, place
+        new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
+        other = new | np.append(True, c[1:] != c[:-1]) if len(a) else new
+        at = np.flatnonzero(new)
+        if not len(at):
+            return a, np.zeros(0, np.int64), new
+        ids = self.ids[r.row][order]
+        return a[at], np.add.reduceat(other.astype(np.int64), at), np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
+
+    def compare(self) -> None:
+        """What is to be compared: pieces (a run with a shared anchor, or a window of one with a hot anchor) and the different texts among them."""
+        r, length = self.runs, self.symbols.length
+        anchors, place = np.unique(r.anchor, return_inverse=True)
+        shared, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
+        order, parts = by_bucket(anchors, self.n_buckets)
+        for bucket, i, j in parts:
+            shared[order[i:j]], hot[order[i:j]] = unpack(self.answers[1, bucket], j - i, 2)
+        keep = shared[place]
+        r, is_hot = r.take(keep), hot[place][keep]
+        count = np.where(is_hot, r.n, 1)
+        of, step = np.repeat(np.arange(len(count)), count), within(count)
+        self.row, self.start, self.n = r.row[of], r.start[of] + step, np.where(is_hot, 1, r.n)[of]
+        at, is_hot, anchor = (r.at[of] - step).tolist(), is_hot[of].tolist(), r.anchor[of].tolist()
+        ends = (self.start + self.n + length - 1).tolist()
+        starts, ids = self.start.tolist(), self.ids.tolist()
+        seen: dict[bytes, int] = {}
+        text_of, key, low, places, entry = [], [], [], [], np.empty(len(of), np.int64)
+        bounds = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1])).tolist() if len(of) else []
+        for a, b in itertools.pairwise([*bounds, len(of)]):
+            row = int(self.row[a])
+            cut, ident = self._cutter(row), ids[row]
+            for i in range(a, b):
+                text = cut(starts[i], ends[i])
+                e = seen.setdefault(text, len(seen))
+                entry[i] = e
+                if e == len(text_of):
+                    text_of.append(text)
+                    key.append(xxhash.xxh3_64_intdigest(text) if is_hot[i] else anchor[i])
+                    low.append(ident)
+                    places.append(at[i])
+                elif ident < low[e]:
+                    low[e] = ident
+        # an order that doesn't depend on that of the rows
+        keys = np.array(key, np.uint64)
+        bucket = bucket_of(keys, self.n_buckets) if len(keys) else np.zeros(0, np.int64)
+        order = np.array(sorted(range(len(key)), key=lambda e: (bucket[e], key[e], text_of[e])), np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.entry, self.bucket, self.key = rank[entry], bucket[order], keys[order]
+        self.low, self.at = np.array(low, np.int64)[order], np.array(places, np.int64)[order]
+        self.text = [text_of[e] for e in order.tolist()]
+        self.windows = np.empty(len(order), np.int64)
+        self.windows[self.entry] = self.n
+
+    def _cutter(self, row: int) -> Callable[[int, int], bytes]:
+        """A function that gives the symbols from a to b as bytes, words with one space between."""
+        raw = self.rows.column("text")[row].as_buffer().to_pybytes()
+        if self.symbols.tokens is None:
+            return lambda a, b: raw[a:b]
+        starts, ends, _ = self.symbols.tokens.cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        starts, ends = starts.tolist(), ends.tolist()
+        return lambda a, b: b" ".join(raw[starts[a] : ends[b - 1]].split())
+
+    def parts(self) -> list[tuple[int, int, int]]:
+        """(bucket, first entry, last entry and one)."""
+        found, start = np.unique(self.bucket, return_index=True)
+        return [(b, *x) for b, x in zip(found.tolist(), itertools.pairwise([*start.tolist(), len(self.bucket)]), strict=False)]
+
+    def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first symbol, end) of stretches of windows that smaller ids have."""
+        told = [unpack(self.answers[2, b], int(self.windows[i:j].sum()))[0] for b, i, j in self.parts()]
+        flags = np.concatenate(told) if told else np.zeros(0, bool)
+        offset = np.cumsum(self.windows) - self.windows
+        whole = self.ids[self.row] > self.low[self.entry]
+        if len(offset):
+            whole |= np.logical_and.reduceat(flags, offset)[self.entry]
+        left = np.flatnonzero(~whole)
+        n = self.n[left]
+        step = within(n)
+        hit = flags[np.repeat(offset[self.entry[left]], n) + step]
+        row, start = np.repeat(self.row[left], n)[hit], (np.repeat(self.start[left], n) + step)[hit]
+        row, start = np.append(self.row[whole], row), np.append(self.start[whole], start)
+        end = start + np.append(self.n[whole], np.ones(int(hit.sum()), np.int64)) + self.symbols.length - 1
+        return row, start, end
 
 
 ASK = "bucket int, batch int, blob binary"
@@ -262,21 +310,9 @@ def _of(table: pa.Table) -> int:
 
 def _ask_anchors(symbols: Symbols, n_buckets: int):
     def run(texts: pa.Table) -> pa.Table:
-        anchors, _, several = Entries(texts, None, symbols, n_buckets).anchors()
+        anchors, count, several = Entries(texts, None, symbols, n_buckets).anchors()
         order, parts = by_bucket(anchors, n_buckets)
-        return _ask([(b, _of(texts), anchors[order[i:j]].tobytes() + pack(several[order[i:j]])) for b, i, j in parts])
-
-    return run
-
-
-def _ask_classes(symbols: Symbols, n_buckets: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _ask([])
-        e = Entries(texts, answers, symbols, n_buckets)
-        e.classes()
-        order, parts = by_bucket(e.anchor, n_buckets)
-        return _ask([(b, _of(texts), b"".join(x[order[i:j]].tobytes() for x in (e.anchor, e.content, e.low))) for b, i, j in parts])
+        return _ask([(b, _of(texts), anchors[order[i:j]].tobytes() + as_level(count[order[i:j]]).tobytes() + pack(several[order[i:j]])) for b, i, j in parts])
 
     return run
 
@@ -286,29 +322,11 @@ def _ask_windows(symbols: Symbols, n_buckets: int):
         if not texts.num_rows:
             return _ask([])
         e = Entries(texts, answers, symbols, n_buckets)
-        e.classes()
-        e.judge()
-        found, low, _ = e.window_hashes()
-        order, parts = by_bucket(found, n_buckets)
-        return _ask([(b, _of(texts), found[order[i:j]].tobytes() + low[order[i:j]].tobytes()) for b, i, j in parts])
-
-    return run
-
-
-def _ask_index(symbols: Symbols, n_buckets: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _ask([])
-        e = Entries(texts, answers, symbols, n_buckets)
-        e.classes()
-        e.judge()
-        order, parts = by_bucket(e.anchor[e.by_index], n_buckets)
+        e.compare()
         rows = []
-        for b, i, j in parts:
-            entries = e.by_index[order[i:j]]
-            texts_of = e.contexts(entries)
-            head = np.array([j - i], np.int64), e.low[entries], np.array([len(x) for x in texts_of], np.int64)
-            rows.append((b, _of(texts), b"".join(x.tobytes() for x in head) + b"".join(texts_of)))
+        for b, i, j in e.parts():
+            head = np.array([j - i], np.int64), e.key[i:j], e.low[i:j], np.array([len(x) for x in e.text[i:j]], np.uint32), e.windows[i:j].astype(np.uint32), e.at[i:j].astype(np.uint32)
+            rows.append((b, _of(texts), b"".join(x.tobytes() for x in head) + b"".join(e.text[i:j])))
         return _ask(rows)
 
     return run
@@ -347,16 +365,6 @@ def _split(flags: list[np.ndarray], sizes: list[int]) -> list[bytes]:
     return [pack(*(f[a:b] for f in flags)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def shared_anchors(blobs: list[bytes]) -> list[bytes]:
-    sizes = [count_in(len(x), 8) for x in blobs]
-    anchors = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes, strict=True)])
-    several = np.concatenate([unpack(x[8 * n :], n)[0] for x, n in zip(blobs, sizes, strict=True)])
-    _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
-    many = count > 1
-    many[place[several]] = True
-    return _split([many[place]], sizes)
-
-
 def count_in(size: int, width: int) -> int:
     """n with width n + ceil(n / 8) = size."""
     n = size * 8 // (8 * width + 1)
@@ -365,39 +373,47 @@ def count_in(size: int, width: int) -> int:
     return n
 
 
-def judged_classes(blobs: list[bytes]) -> list[bytes]:
-    sizes = [len(x) // 24 for x in blobs]
-    anchor, content, low = (np.concatenate([np.frombuffer(x, t, n, 8 * n * j) for x, n in zip(blobs, sizes, strict=True)]) for j, t in enumerate((np.uint64, np.uint64, np.int64)))
-    order = np.lexsort((low, content, anchor))
-    a, c = anchor[order], content[order]
-    new_anchor = np.append(True, a[1:] != a[:-1])
-    new = np.append(True, c[1:] != c[:-1]) | new_anchor
-    least = low[order][new][np.cumsum(new) - 1]  # of the class
-    of_anchor = np.cumsum(new_anchor) - 1
-    n_classes = np.bincount(of_anchor[new])[of_anchor]
-    flags = [np.empty(len(order), bool) for _ in range(3)]
-    for f, x in zip(flags, (least < low[order], n_classes > 1, n_classes > HOT), strict=True):
-        f[order] = x
-    return _split(flags, sizes)
-
-
-def smaller_windows(blobs: list[bytes]) -> list[bytes]:
-    sizes = [len(x) // 16 for x in blobs]
-    hashes, low = (np.concatenate([np.frombuffer(x, t, n, 8 * n * j) for x, n in zip(blobs, sizes, strict=True)]) for j, t in enumerate((np.uint64, np.int64)))
-    found, place = np.unique(hashes, return_inverse=True)
-    least = np.full(len(found), 2**63 - 1)
-    np.minimum.at(least, place, low)
-    return _split([least[place] < low], sizes)
-
-
-def _indexed(length: int, index: Callable):
+def shared_anchors(blobs: list[bytes]) -> list[bytes]:
+    sizes = [count_in(len(x), 9) for x in blobs]
+    anchors = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes, strict=True)])
+    more = np.concatenate([level_of(np.frombuffer(x, np.uint8, n, 8 * n)) for x, n in zip(blobs, sizes, strict=True)]) - 1
+    several = np.concatenate([unpack(x[9 * n :], n)[0] for x, n in zip(blobs, sizes, strict=True)])
+    _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
+    many = count > 1
+    many[place[several]] = True
+    return _split([many[place], (np.bincount(place, more) > HOT)[place]], sizes)
+
+
+def judged(symbols: Symbols):
     def judge(blobs: list[bytes]) -> list[bytes]:
         counts = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs]
-        low, size = (np.concatenate([np.frombuffer(x, np.int64, n, 8 + 8 * n * j) for x, n in zip(blobs, counts, strict=True)]) for j in (0, 1))
-        texts = b"".join(x[8 + 16 * n :] for x, n in zip(blobs, counts, strict=True))
-        flags = index(texts, size, low, length)  # of each text's windows, in order
-        n = np.add.reduceat(size - length + 1, np.cumsum([0, *counts[:-1]]))
-        return _split([flags], n.tolist())
+        field = lambda t, skip: np.concatenate([np.frombuffer(x, t, n, 8 + skip * n) for x, n in zip(blobs, counts, strict=True)])
+        key, low = field(np.uint64, 0), field(np.int64, 8)
+        size, n, at = (field(np.uint32, 16 + 4 * j).astype(np.int64) for j in range(3))
+        texts = [memoryview(x)[8 + 28 * c :] for x, c in zip(blobs, counts, strict=True)]
+        sender = np.repeat(np.arange(len(blobs)), counts)
+        begin = np.cumsum(size) - size
+        begin -= np.repeat(begin[np.cumsum([0, *counts[:-1]])], counts)
+        windows_at = np.cumsum(n) - n
+        flags = np.zeros(int(n.sum()), bool)
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        filled = np.cumsum(size[order])
+        a = 0
+        while a < len(order):
+            # whole keys up to BLOCK bytes, one at least
+            done = filled[a - 1] if a else 0
+            most = np.searchsorted(filled, done + BLOCK, "right")
+            ends = np.append(heads, len(order))
+            b = max(ends[np.searchsorted(ends, most, "right") - 1], ends[np.searchsorted(ends, a, "right")])
+            own = order[a:b]
+            sep = b"" if symbols.tokens is None else b" "
+            joined = b"".join(bytes(texts[s][i : i + k]) + sep for s, i, k in zip(sender[own].tolist(), begin[own].tolist(), size[own].tolist(), strict=True))
+            told = symbols.judge(Block(joined, size[own], n[own], low[own], at[own], symbols.length, symbols.k))
+            flags[np.repeat(windows_at[own], n[own]) + within(n[own])] = told
+            a = b
+        sent = np.add.reduceat(n, np.cumsum([0, *counts[:-1]]))
+        return _split([flags], sent.tolist())
 
     return judge
 
@@ -407,49 +423,23 @@ def _finish(symbols: Symbols, n_buckets: int, keep):
         if not texts.num_rows:
             return keep.empty()
         e = Entries(texts, answers, symbols, n_buckets)
-        e.classes()
-        e.judge()
-        row, start, n = e.runs.row[e.covered], e.runs.start[e.covered], e.runs.n[e.covered]
-        # windows of the first occurrences, flagged one by one
-        flags: dict[int, np.ndarray] = {}
-        if len(e.by_hash):
-            found, low, place = e.window_hashes()
-            sizes = e.runs.n[e.sample[e.by_hash]]
-            x = e.told(4, found)[0][place] | (np.repeat(e.low[e.by_hash], sizes) > low[place])
-            flags |= dict(zip(e.by_hash.tolist(), np.split(x, np.cumsum(sizes)[:-1]), strict=True))
-        if len(e.by_index):
-            order, parts = by_bucket(e.anchor[e.by_index], n_buckets)
-            for b, i, j in parts:
-                entries = e.by_index[order[i:j]]
-                sizes = e.runs.n[e.sample[entries]]
-                x = unpack(e.answers[3, b], int(sizes.sum()))[0]
-                flags |= dict(zip(entries.tolist(), np.split(x, np.cumsum(sizes)[:-1]), strict=True))
-        rows, starts, ns = [row], [start], [n]
-        open_entry = np.zeros(len(e.anchor), bool)
-        open_entry[[k for k, f in flags.items() if f.any()]] = True
-        for k in np.flatnonzero(open_entry[e.entry] & ~e.covered):
-            f = np.flatnonzero(flags[int(e.entry[k])])
-            rows.append(np.full(len(f), e.runs.row[k]))
-            starts.append(e.runs.start[k] + f)
-            ns.append(np.ones(len(f), np.int64))
-        row, start, n = (np.concatenate(x) for x in (rows, starts, ns))
-        order = np.lexsort((start, row))
-        return keep.table(e, row[order], start[order], start[order] + n[order] + symbols.length - 1)
+        e.compare()
+        return keep.table(e.rows, *merged(*e.covered()))
 
     return run
 
 
-def spans_by_row(n_rows: int, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Maximal covered stretches of each row; input sorted by row and start."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n_rows)]
-    for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-        x = out[r]
-        if x and a <= x[-1][1]:
-            if b > x[-1][1]:
-                x[-1] = (x[-1][0], b)
-        else:
-            x.append((a, b))
-    return out
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal stretches, in order."""
+    if not len(row):
+        return row, start, end
+    wide = np.int64(end.max() + 1)
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    reach = np.maximum.accumulate(row * wide + end)
+    new = np.append(True, (row * wide + start)[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], start[new], reach[last] - row[new] * wide
 
 
 class Keep:
@@ -464,28 +454,39 @@ class Keep:
     def empty(self) -> pa.Table:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), self.SPANS, pa.binary())], ["id", "n", "spans", "kept"])
 
-    def table(self, e: Entries, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-        spans = spans_by_row(e.rows.num_rows, row, start, end)
+    def table(self, rows: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+        bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["a", "b"]))
         n, kept = [], []
-        for text, cut in zip(e.rows.column("text").to_pylist(), spans, strict=True):
-            symbols = (text or "").encode().split() if self.words else (text or "").encode()
+        starts, ends = start.tolist(), end.tolist()
+        for r, text in enumerate(rows.column("text")):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            symbols = raw.split() if self.words else raw
             n.append(len(symbols))
             left, at = symbols[:0], 0
-            for a, b in cut:
-                left += symbols[at:a]
-                at = b
-            left += symbols[at:]
+            for i in range(bounds[r], bounds[r + 1]):
+                left += symbols[at : starts[i]]
+                at = ends[i]
+            left = left + symbols[at:] if at else symbols
             kept.append(b" ".join(left) if self.words else left)
-        return pa.table([e.rows.column("id"), pa.array(n, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], self.SPANS), pa.array(kept, pa.binary())], ["id", "n", "spans", "kept"])
+        return pa.table([rows.column("id"), pa.array(n, pa.int64()), spans.cast(self.SPANS), pa.array(kept, pa.binary())], ["id", "n", "spans", "kept"])
+
+
+def place_of(ident, text_hash, n: int):
+    """The batch of a row, so that rows of one id are spread by their texts."""
+    return F.pmod(F.xxhash64(ident, text_hash), F.lit(n)).cast("int")
+
+
+def text_hash(text_col: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The texts dealt into batches, and the number of batches and buckets."""
     total = float(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = int(min(4_000_000, max(8, total / max(BATCH, (850 * total) ** 0.5))))
+    n = int(min(2**31 - 1, max(8, total / min(LARGEST, max(BATCH, (850 * total) ** 0.5)))))
     ident = F.col(id_col).cast("long")
-    batch = F.pmod(F.when(ident.isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(ident)), F.lit(n)).cast("int")
-    return docs.select(batch.alias("batch"), ident.alias("id"), F.col(text_col).alias("text")).repartition("batch"), n
+    return docs.select(place_of(ident, text_hash(text_col), n).alias("batch"), ident.alias("id"), F.col(text_col).alias("text")).repartition("batch"), n
 
 
 def removed(docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -501,8 +502,5 @@ def removed(docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", text_col:
         return grouped().cogroup(told.groupBy("batch")).applyInArrow(fn, schema)
 
     told = answers(grouped().applyInArrow(_ask_anchors(symbols, n), ASK), 1, shared_anchors)
-    told = told.unionByName(answers(with_answers(told, _ask_classes(symbols, n), ASK), 2, judged_classes))
-    more = answers(with_answers(told, _ask_windows(symbols, n), ASK), 4, smaller_windows)
-    if symbols.index is not None:
-        more = more.unionByName(answers(with_answers(told, _ask_index(symbols, n), ASK), 3, _indexed(symbols.length, symbols.index)))
+    more = answers(with_answers(told, _ask_windows(symbols, n), ASK), 2, judged(symbols))
     return with_answers(told.unionByName(more), _finish(symbols, n, Keep(symbols.tokens is not None)), Keep.SCHEMA)

@@ -1,15 +1,18 @@
 """Suffix-array dedup: removes bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Blocks are the ends of repeated passages that share an anchor (``repeats``), all texts of a bucket
-joined by a separator. A block's suffixes are sorted by their first ``length`` bytes and more, which
-gives the Burrows-Wheeler transform. From the intervals of single bytes, breadth-first backward
-extension goes from the interval of P to those of cP for every byte c before a suffix in it; a step
-raises the common prefix by one, intervals of one suffix are dropped (what occurs once has no longer
-repeat), and extension stops at ``length``. The intervals left are the repeated strings of that
-length. Longer common prefixes are never derived: overlapping windows cover them.
+Blocks are the passages around shared anchors (``repeats``), all texts of a block joined by a separator.
+Its suffixes are sorted by their first 50 bytes and more, which gives the Burrows-Wheeler transform. Common
+prefixes of neighbours in that order are then derived by increasing value, breadth first: from the interval
+[lo, hi) of suffixes that start with P, backward extension gives that of cP for every byte c before a suffix in it.
+Extension from strings of n bytes finds the borders hi across which the common prefix is n bytes; an
+interval that finds no new border isn't extended again, so each border costs its interval once and not once
+a byte. Expansion stops at ``length``: across the borders never found 50 bytes or more are common. Longer
+values are never derived: overlapping windows cover them. Whatever is removed lies between borders of this
+index, in whole intervals of equal 50-byte strings; anchors only say which texts come into a block.
 
 Null texts count as empty, texts under 50 bytes lose nothing, repeated rows of one id don't count
-against each other, rows with a null id neither lose nor cause anything, and other columns are not read.
+against each other, rows with a null id neither lose nor cause anything, and other columns are not read;
+an empty table gives an empty one, and a very long text is hashed in pieces.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Symbols, removed
+from .repeats import Block, Symbols, removed, within
 
 LENGTH, K = 50, 25
-#: never in UTF-8
-SEPARATOR = 0xFF
+#: never in UTF-8: after each text, and once after the last
+SEPARATOR, END = 0xFF, 0xFE
 
 
 def bounded_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -33,7 +36,7 @@ def bounded_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.ndarray(n, ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
     size = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.append(np.uint64(1), (ordered[1:] != ordered[:-1]).astype(np.uint64)))
@@ -44,56 +47,55 @@ def bounded_order(text: np.ndarray, depth: int) -> np.ndarray:
         size *= 2
 
 
-def expand(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of strings of ``length`` bytes that occur again, interval by interval: (positions, start of each interval)."""
+def borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, common prefix of each with the one before it, ``length`` for as long or longer); text ends with a byte of its own."""
     n = len(text)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if n < length:
-        return none
     order = bounded_order(text, length)
+    initial = text[order]
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
-    before = text[order - 1]  # the transform
-    before[order == 0] = SEPARATOR
-    last = inverse[order - 1]  # the row of the suffix one byte longer
-    initial = text[order]
-    rows = np.flatnonzero(initial != SEPARATOR)
-    head = np.append(True, initial[rows][1:] != initial[rows][:-1]) if len(rows) else np.zeros(0, bool)
-    for _ in range(1, length):
-        if not len(rows):
-            return none
-        # intervals of one row go
-        single = head & np.append(head[1:], True)
-        rows, head = rows[~single], head[~single]
-        interval = np.cumsum(head)
-        go = before[rows] != SEPARATOR
-        rows, interval = last[rows[go]], interval[go]
-        by = np.argsort(rows, kind="stable")
-        rows, interval = rows[by], interval[by]
-        first = initial[rows]
-        head = np.append(True, (interval[1:] != interval[:-1]) | (first[1:] != first[:-1])) if len(rows) else np.zeros(0, bool)
-    single = head & np.append(head[1:], True) if len(head) else head
-    return order[rows[~single]], np.flatnonzero(head[~single])
-
-
-def smaller_elsewhere(texts: bytes, sizes: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    before = inverse[order - 1]  # the row of the suffix one byte longer; that of the whole text has none
+    common = np.full(n + 1, length, np.int64)
+    common[n] = common[0] = 0
+    owner = np.zeros(n, np.int64)
+    rows, interval = np.arange(n), np.zeros(n, np.int64)
+    for value in range(length):
+        go = order[rows] > 0 if value else np.ones(len(rows), bool)
+        to = before[rows[go]] if value else rows  # from the empty string to single bytes
+        if not len(to):
+            break
+        owner[to] = interval[go]
+        rows = np.sort(to)
+        of, byte = owner[rows], initial[rows]
+        last = np.append((of[1:] != of[:-1]) | (byte[1:] != byte[:-1]), True)
+        hi = rows[last] + 1
+        new = common[hi] == length
+        new[hi == n] = False
+        common[hi[new]] = value
+        size = np.diff(np.append(-1, np.flatnonzero(last)))
+        keep = np.repeat(new, size)
+        rows, interval = rows[keep], np.repeat(np.arange(len(size)), size)[keep]
+    return order, common[:n]
+
+
+def smaller_elsewhere(block: Block) -> np.ndarray:
     """For each window of each text, in order: whether it is in a text with a smaller ``low``."""
+    sizes, n = block.size, block.n
     starts = np.cumsum(sizes) - sizes
-    joined = np.full(len(texts) + len(sizes), SEPARATOR, np.uint8)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    joined[np.arange(len(texts)) + owner] = np.frombuffer(texts, np.uint8)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    at, heads = expand(joined, length)
-    flag = np.zeros(len(joined), bool)
-    if len(at):
-        ids = low[owner[at]]
-        least = np.minimum.reduceat(ids, heads)
-        flag[at] = np.repeat(least, np.diff(np.append(heads, len(at)))) < ids
-    n = sizes - length + 1
-    return flag[np.arange(n.sum()) + np.repeat(starts + np.arange(len(sizes)) - (np.cumsum(n) - n), n)]
-
-
-SYMBOLS = Symbols(LENGTH, K, index=smaller_elsewhere)
+    joined = np.full(len(block.texts) + len(sizes) + 1, SEPARATOR, np.uint8)
+    joined[-1] = END
+    joined[np.arange(len(block.texts)) + np.repeat(np.arange(len(sizes)), sizes)] = np.frombuffer(block.texts, np.uint8)
+    order, common = borders(joined, block.length)
+    owner = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes) - 1)
+    ids = block.low[owner[order]]
+    heads = np.flatnonzero(common < block.length)
+    least = np.minimum.reduceat(ids, heads)
+    flag = np.empty(len(joined), bool)
+    flag[order] = np.repeat(least, np.diff(np.append(heads, len(order)))) < ids
+    return flag[np.repeat(starts + np.arange(len(sizes)), n) + within(n)]
+
+
+SYMBOLS = Symbols(LENGTH, K, smaller_elsewhere)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,28 +74,74 @@ def test_suffixes(spark, monkeypatch):
 
 def test_interval_expansion():
     rng = random.Random(5)
-    text = np.frombuffer(bytes(rng.choices(b"ab", k=3000)) + b"\xff" + bytes(rng.choices(b"abc", k=500)), np.uint8)
-    for length in (3, 12, 20):
-        at, heads = suffixes.expand(text, length)
-        groups: dict = {}
-        raw = text.tobytes()
-        for p in range(len(raw) - length + 1):
-            if b"\xff" not in raw[p : p + length]:
-                groups.setdefault(raw[p : p + length], []).append(p)
-        want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
-        assert sorted(sorted(x.tolist()) for x in np.split(at, heads[1:])) == want if want else not len(at)
+    for k in range(60):
+        raw = bytes(rng.choices([b"ab", b"abc", b"a\xff", b"abcdefgh"][k % 4], k=rng.randint(1, 300)))
+        raw += raw[: rng.randint(0, len(raw))] + b"\xff\xfe"
+        for length in (1, 3, 12, 50):
+            order, common = suffixes.borders(np.frombuffer(raw, np.uint8), length)
+            assert [raw[p : p + length] for p in order] == sorted(raw[p : p + length] for p in order)
+            for a, b, n in zip(order, order[1:], common[1:], strict=False):
+                same = next((j for j in range(length) if raw[a + j : a + j + 1] != raw[b + j : b + j + 1]), length)
+                assert n == same
+
+
+def test_nothing_goes_without_the_index(spark, monkeypatch):
+    """With the answers of the index set to no, nothing that several batches hold is removed."""
+    monkeypatch.setattr(repeats, "BATCH", 1 << 8)
+    docs = spark.createDataFrame([(i, f"copied {'passage of words ' * 9}") for i in range(40)], "doc_id long, text string")
+    assert sum(len(r.spans) for r in suffixes.dedup(docs).collect()) == 39
+    off = repeats.Symbols(50, 25, lambda block: np.zeros(int(block.n.sum()), bool))
+    one_each = docs.withColumn("doc_id", docs.doc_id * 1)
+    entries, n = repeats.deal(one_each, "doc_id", "text")
+    alone = entries.groupBy("batch").count().where("count = 1").count()
+    assert n >= 8 and sum(len(r.spans) == 0 for r in repeats.removed(docs, off).collect()) >= max(alone, entries.select("batch").distinct().count())
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """Windows of an anchor with many different runs are dealt one by one, in blocks of some texts."""
+    monkeypatch.setattr(repeats, "BATCH", 1 << 9)
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 10)
+    rng = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, " ".join([rng.choice("xyz"), rng.choice("xyz"), *rng.choices("uvw", k=rng.randint(0, 12)), common, *rng.choices("pq", k=rng.randint(0, 14))])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(substrings.dedup(docs)) == brute(rows, words, 50, b" ".join)
+    assert removed(suffixes.dedup(docs)) == brute(rows, lambda t: (t or "").encode(), 50, bytes)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_symbols_are_compared(spark):
+    """Words and texts whose polynomial hashes modulo 2**64 are equal, though they differ in every letter."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rest = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([x, *rest])), (2, " ".join([y, *rest])), (3, " ".join([*rest[:20], x, *rest[20:]])), (4, " ".join([*rest[:20], y, *rest[20:]])), (5, x), (6, y), (7, "e" + x), (8, "e" + y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(substrings.dedup(docs)) == brute(rows, words, 50, b" ".join)
+    assert removed(suffixes.dedup(docs)) == brute(rows, lambda t: (t or "").encode(), 50, bytes)
+
+
+def test_one_id_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH", 1 << 8)
+    docs = spark.createDataFrame([(7, f"text {i} of one id") for i in range(400)], "doc_id long, text string")
+    texts, n = repeats.deal(docs, "doc_id", "text")
+    assert n >= 8 and texts.select("batch").distinct().count() >= 8
 
 
 def test_winnowing_covers_every_window(monkeypatch):
-    codes = np.array([hash(x) % 2**63 for x in random.Random(6).choices("abcdefgh", k=500)], np.uint64)
-    first = np.array([0, 0, 49, 99, 300, 500])
-    row, start, n, *_ = repeats.find_runs(codes, first, 50, 25)
-    got = [(r, s + i) for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True) for i in range(k)]
-    want = [(r, s) for r in range(5) for s in range(first[r + 1] - first[r] - 49)]
-    assert got == want
-    monkeypatch.setattr(repeats, "PIECE", 60)
-    row, start, n, *_ = repeats.find_runs(codes, first, 50, 25)
-    assert sorted((r, s + i) for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True) for i in range(k)) == want
+    rng = random.Random(6)
+    for letters in ("abcdefgh", "ab", "a"):
+        codes = np.array([hash(x) % 2**63 for x in rng.choices(letters, k=500)], np.uint64)
+        first = np.array([0, 0, 49, 99, 300, 500])
+        for piece in (10**6, 60):
+            monkeypatch.setattr(repeats, "PIECE", piece)
+            r = repeats.find_runs(codes, first, 50, 25)
+            got = [(a, s + i) for a, s, k in zip(r.row.tolist(), r.start.tolist(), r.n.tolist(), strict=True) for i in range(k)]
+            assert sorted(got) == [(a, s) for a in range(5) for s in range(first[a + 1] - first[a] - 49)]
+            assert ((r.at >= r.n - 1) & (r.at <= 25)).all()
 
 
 def test_pieces_hash_alike(monkeypatch):
