@@ -1,13 +1,17 @@
 """Secret scan with structural confirmation.
 
-Base patterns give candidate spans; the method then decodes base64 and hex runs and reports
-those whose bytes hold together: DER sequences whose nested lengths fill their parents, OpenSSH
-private keys whose length-prefixed fields follow the magic, PEM blocks around such bytes, and
-signed tokens whose header is JSON with an algorithm and whose claims are JSON. Runs may be wrapped over
-lines, in JSON strings too (a backslash and n); a key may start anywhere in a run and ends with one of its lines.
+Base patterns give candidate spans; the method then decodes base64 and hex runs and reports those whose bytes
+are a private key: DER whose nested lengths fill their parents and whose parts are those of PKCS #1 (version and
+eight integers), DSA (version and five), SEC 1 (version 1 and octets), PKCS #8 (version, algorithm identifier,
+octets that hold such a key again) or encrypted PKCS #8 (a password scheme and octets); OpenSSH private keys
+whose length-prefixed fields follow the magic; PEM blocks around such bytes, or around encrypted ones that their headers
+name; and signed tokens whose header is JSON with an algorithm and whose claims are JSON. Signatures, certificates and
+public keys are no secrets and are left alone. Runs may be wrapped over lines of 16 letters or more, in JSON
+strings too (a backslash and n); a key may start anywhere in a run and ends with one of its lines.
 
 Positions are code points of the whole text, ends exclusive. Null texts count as empty;
-repeated rows give equal rows; other columns are not read.
+repeated rows give equal rows; other columns are not read; an empty table gives an empty one; the time for a
+very long text grows with its length.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones may be passed over by the pattern
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----((?:[A-Za-z0-9+/=\s]|\\[nrt/])+)-----END \1-----")
+#: three parts in base64url; a header begins with { or white space, so with one of these letters
+JWT = re.compile(r"(?<![A-Za-z0-9_-])[CDIe][A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+GAP = r"(?:\s|\\[nrt])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]++)-----((?>{GAP}*+[A-Za-z][A-Za-z0-9-]*+:(?:[^\r\n\\]|\\[^nr])*+)*+)((?:[A-Za-z0-9+/=\s]|\\[nrt/])++)-----END \1-----")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED(?s:.)*DEK-Info:")
 #: lines of 16 letters at least, but for the last; in JSON strings / may be escaped too
 BREAK = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 BASE64 = re.compile(rf"(?:[A-Za-z0-9+_-]|\\?/){{16,}}+(?:{BREAK}(?:[A-Za-z0-9+_-]|\\?/){{16,}}+)*+(?:{BREAK}(?:[A-Za-z0-9+_-]|\\?/)++)?={{0,2}}")
@@ -71,20 +78,64 @@ def der_node(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, pos, pos + size) if tag & 0x1F != 0x1F and pos + size <= end else None
 
 
-def der_fills(data: bytes, at: int, end: int, depth: int = 0) -> bool:
-    """Whether elements fill data[at:end] exactly, those inside constructed ones too."""
+def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start and end of the contents) of the elements that fill data[at:end] exactly, if some do."""
+    out = []
     while at < end:
         node = der_node(data, at, end)
-        if node is None or depth > 16:
-            return False
-        tag, start, at = node
-        if tag & 0x20 and not der_fills(data, start, at, depth + 1):
-            return False
-    return at == end
+        if node is None:
+            return None
+        out.append(node)
+        at = node[2]
+    return out
+
+
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# fixed values: object identifiers (their contents) of algorithms, and what those of password schemes begin with
+RSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+EDWARDS = bytes.fromhex("2b65")
+PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def algorithm(data: bytes, start: int, end: int) -> bytes | None:
+    """The object identifier of an algorithm identifier's contents."""
+    parts = der_parts(data, start, end)
+    return data[parts[0][1] : parts[0][2]] if parts and parts[0][0] == OBJECT and len(parts) <= 2 else None
+
+
+def is_private_key(data: bytes, start: int = 0, end: int | None = None) -> bool:
+    """Whether data[start:end] is one sequence with the parts of a private key."""
+    end = len(data) if end is None else end
+    top = der_node(data, start, end)
+    if top is None or top[0] != SEQUENCE or top[2] != end:
+        return False
+    parts = der_parts(data, top[1], end) or []
+    tags = [t for t, *_ in parts]
+    value = [data[a:b] for _, a, b in parts]
+    if tags[:2] == [SEQUENCE, OCTETS] and len(parts) == 2:
+        return (algorithm(data, *parts[0][1:]) or b"").startswith(PASSWORD_SCHEMES) and len(value[1]) >= 8
+    if not parts or tags[0] != INTEGER or value[0] not in (b"\0", b"\1"):
+        return False
+    if all(t == INTEGER for t in tags):
+        # the modulus, or a prime, comes second; positive numbers
+        return len(parts) in (6, 9) and value[0] == b"\0" and all(v and not v[0] & 0x80 for v in value) and len(value[1]) >= 16
+    if tags[:10] == [INTEGER] * 9 + [SEQUENCE] and len(parts) == 10:  # more than two primes
+        return value[0] == b"\1"
+    if tags[1] == OCTETS:
+        return value[0] == b"\1" and len(value[1]) >= 16 and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+    if tags[1:3] != [SEQUENCE, OCTETS] or not set(tags[3:]) <= {0xA0, 0x81, 0xA1}:
+        return False
+    kind, inner = algorithm(data, *parts[1][1:]), parts[2][1:]
+    if kind in (RSA, EC):
+        return is_private_key(data, *inner)
+    if kind and kind.startswith(EDWARDS) and len(kind) == 3:
+        inside = der_parts(data, *inner)
+        return bool(inside) and [t for t, *_ in inside] == [OCTETS] and inside[0][2] - inside[0][1] >= 32
+    return bool(kind) and bool(der_parts(data, *inner))
 
 
 def key_kind(data: bytes) -> str | None:
-    """der: a sequence of an integer or sequence and more, of nested lengths that add up; openssh: magic and length-prefixed fields."""
+    """der: a private key; openssh: magic and length-prefixed fields."""
     if data.startswith(OPENSSH):
         at, fields = len(OPENSSH), []
         for k in range(6):  # cipher, kdf, kdf options, number of keys, public key, private part
@@ -101,11 +152,14 @@ def key_kind(data: bytes) -> str | None:
             fields.append(data[at : at + size])
             at += size
         return "openssh" if fields[0].isascii() and fields[0] and fields[3][:4] == struct.pack(">I", len(fields[3][4 : 4 + int.from_bytes(fields[3][:4], "big")])) else None
-    if len(data) >= 24 and data[0] == 0x30:
-        node = der_node(data, 0, len(data))
-        if node and node[2] == len(data) and node[1] < node[2] and data[node[1]] in (0x02, 0x30) and der_fills(data, node[1], node[2]):
-            return "der"
-    return None
+    return "der" if data[:1] == b"\x30" and is_private_key(data) else None
+
+
+def is_pem_key(m: re.Match) -> bool:
+    body = unbase64(m[3]) or b""
+    if m[2] and m[1].endswith("PRIVATE KEY") and ENCRYPTED.search(m[2]):
+        return len(body) >= 24 and len(body) % 8 == 0
+    return key_kind(body) is not None
 
 
 def unbase64(text: str) -> bytes | None:
@@ -137,10 +191,10 @@ def is_signed_token(text: str) -> bool:
 
 def _size(head: bytes) -> int:
     """Bytes of the DER key that starts so, 0 if none does."""
-    if len(head) < 7 or head[0] != 0x30:
+    if len(head) < 7 or head[0] != SEQUENCE:
         return 0
     n = head[1] & 0x7F if head[1] & 0x80 else 0
-    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (INTEGER, SEQUENCE):  # a version or an algorithm comes first
         return 0
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
@@ -197,16 +251,18 @@ def _base64_keys(text: str, start: int, end: int):
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    if "-----BEGIN " in text:
-        out += [("pem", *m.span()) for m in PEM.finditer(text) if key_kind(unbase64(m[2]) or b"")]
-    inside = [s[1:] for s in out if s[0] == "pem"]
+    out = [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    pems = [m.span() for m in PEM.finditer(text) if is_pem_key(m)] if "-----BEGIN " in text else []
     found = [k for m in BASE64.finditer(text) if KEY_START.search(m[0]) for k in _base64_keys(text, *m.span())]
     for m in ANY_HEX.finditer(text):
         found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys(m[0], [len(m[0])], HEX_START, _unhex, (2, 1))]
-    return out + [k for k in found if not any(a <= k[1] < b for a, b in inside)]
+    starts = [a for a, _ in pems]
+
+    def in_pem(at: int) -> bool:
+        k = bisect.bisect_right(starts, at) - 1
+        return k >= 0 and at < pems[k][1]
+
+    return out + [("pem", a, b) for a, b in pems] + [k for k in found if not in_pem(k[1])]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -236,12 +292,14 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     """The same rows and columns with each run of overlapping spans replaced by ``mark``; null texts stay null."""
 
     def clean(text: str) -> str:
+        merged: list[list[int]] = []
+        for _, a, b in sorted(base_spans(text) + confirmed_spans(text), key=lambda s: s[1:]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
         out, at = [], 0
-        spans = sorted((a, b) for _, a, b in base_spans(text) + confirmed_spans(text))
-        while spans:
-            a, b = spans.pop(0)
-            while spans and spans[0][0] <= b:
-                b = max(b, spans.pop(0)[1])
+        for a, b in merged:
             out += [text[at:a], mark]
             at = b
         return "".join(out) + text[at:] if out else text
