@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -236,12 +237,94 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 
 def test_main_text():
-    assert [t for t, _ in html_main.content(PAGE.format(promo="p", long="c " * 500))] == ["Head & tail", "One two é", "Three four", "a", "b", "five"]
-    assert html_main.content("") == [] and html_main.content("<p>") == [] and [t for t, _ in html_main.content("<p>only <i>this")] == ["only this"]
-    wrapped = '<body><div class="page with-sidebar"><nav>m</nav><article><p>x</p><p class="ad">y</p></article><div class="comments"><article>c</article></div></div>'
-    assert [t for t, _ in html_main.content(wrapped)] == ["x"]
-    assert [t for t, _ in html_main.content("<body><div><p>x</div><p>y")] == ["x", "y"]
-    assert [t for t, _ in html_main.content("a <b 'unclosed> b <p>c")][-1:] == ["c"]
+    content = lambda page: html_main.Page(page).content()
+    assert content(PAGE.format(promo="p", long="c " * 500)) == ["Head & tail", "One two é", "Three four", "a", "b", "five"]
+    assert content("") == [] and content("<p>") == [] and content("<p>only <i>this") == ["only this"]
+    wrapped = '<body><div class="page with-sidebar"><nav>m</nav><article><p>x x</p><p class="ad">y</p></article><div class="comments"><article>c</article></div></div>'
+    assert content(wrapped) == ["x x"]
+    assert content("<body><div><p>x</div><p>y") == ["x", "y"]
+    assert content("a <b 'unclosed> b <p>c")[-1:] == ["c"]
+    assert content("<main><div>a long story in some words</div><article>short card</article></main>") == ["a long story in some words", "short card"]
+    assert content("<body><article>part one</article><article>part two</article><nav>m</nav>") == ["part one", "part two"]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for make in (lambda n: "<div>a " * n, lambda n: "<div><span>" * n + "</x>" * n + "</p>" * n, lambda n: "<ul><li>x" * n, lambda n: "<p>word " * n):
+        took = []
+        for n in (10_000, 40_000):
+            raw = make(n)
+            began = time.process_time()
+            page = html_main.Page(raw)
+            page.content(set(list(page.subtrees())[:3]))
+            took.append(time.process_time() - began)
+        assert took[1] < 9 * took[0] + 0.3
+    assert len(html_main.Page("<div>a " * 100_000).content()) == 100_000
+
+
+def brute_templates(pages):
+    """Per host the subtrees of each page as nested tuples, deleted by the stated bounds, without hashes or Spark."""
+    def tuples(raw):
+        page = html_main.Page(raw or "")
+        children: dict = {}
+        for text, e in page.blocks:
+            children.setdefault(id(e), []).append(text)
+        own: dict = {}
+        for e in reversed(page.elements):
+            own[id(e)] = (e.name, tuple(children.get(id(e), ())), tuple(own[id(c)] for c in page.elements if c.parent is e))
+        return page, own
+
+    def blocks_of(t):
+        return list(t[1]) + [b for c in t[2] for b in blocks_of(c)]
+
+    hosts: dict = {}
+    for i, url, raw in pages:
+        hosts.setdefault((url or "").split("/")[2] if url and "//" in url else "", []).append((i, *tuples(raw)))
+    out = {}
+    prior = lambda e: 1 if e.out[0] else 2 if e.parent is not None and e.parent.article else 0
+    for found in hosts.values():
+        seen: dict = {}
+        for _, page, own in found:
+            whole = sorted(b for b, _ in page.blocks)
+            for e in page.elements:
+                if e.name in html_main.BLOCK - {"html", "body"} and blocks_of(own[id(e)]):
+                    rest = list(whole)
+                    for b in blocks_of(own[id(e)]):
+                        rest.remove(b)
+                    seen.setdefault((own[id(e)], prior(e)), set()).add(tuple(rest))
+        n = len({tuple(sorted(b for b, _ in page.blocks)) for _, page, _ in found})
+        bar = max(3, min(-(-n // 2), 10), -(-n // 100))
+        gone = {k for k, rests in seen.items() if len(rests) >= (bar, 2, max(bar, -(-n // 4)))[k[1]]}
+        for i, page, own in found:
+            text = []
+            for b, e in page.blocks:
+                x, keep = e, True
+                while x is not None:
+                    keep &= (own[id(x)], prior(x)) not in gone
+                    x = x.parent
+                if keep:
+                    text.append(b)
+            out[i] = "\n".join(text)
+    return out
+
+
+def test_recurring_subtrees_against_brute_force(spark):
+    """Without the prior for what is left, over pages without near copies."""
+    rng = random.Random(31)
+    par = lambda: f"<p>{' '.join(rng.choices([f'w{k}' for k in range(900)], k=12))}</p>"
+    pages = []
+    for i in range(160):
+        host = f"https://h{rng.choice([0, 0, 0, 1, 2])}.org/{i}"
+        quarter = "<article>" * (i % 3 > 0)
+        raw = f"<nav><ul><li>one<li>two {rng.choice('ab')}</ul></nav>{quarter}" + par() + rng.choice(["<div>Share it</div>", "<section><div>Share it</div><p>now</p></section>", ""]) + par()
+        pages.append((i, host, raw + rng.choice(["<footer>end</footer>", '<div class="ad">buy</div>', "<div>tail</div>", par()])))
+    pages += [(500 + i, f"https://single{i}.org/", "<nav>only here</nav><p>x") for i in range(3)] + [(600, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df, prior=False).collect()}
+    want = brute_templates(pages)
+    assert got == want
+    assert sum("one" in t for t in got.values()) < 5 and sum("Share it" in t for t in got.values()) < 20 and got[500] == "only here\nx"
+    with_prior = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert with_prior[500] == "x" and not any("buy" in t or "end" in t for t in with_prior.values())
 
 
 def test_templates(spark):
