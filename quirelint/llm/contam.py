@@ -12,7 +12,7 @@ benchmark is; the documents are read once for each block's word counts and once
 
 A null text has no words; null items and items without words have no window; items of equal id
 count once; windows of items with a null id mark words but list no item; repeated documents give
-equal rows; other columns are not read. Without windows nothing is hit.
+equal rows; other columns are not read. Without windows nothing is hit; no documents, no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS, WINDOW_BASE, Base, arrow_map, ship, slices, table, type_of
 
 K, BLOCK, MASK_BITS = 10, 300_000, 22
+#: candidates compared at a time
+CANDIDATES = 1 << 18
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -120,18 +122,27 @@ class Index:
         prefix, start = np.unique(hashes[token_at][order], return_index=True)
         self.prefix, self.start, self.end = prefix, start, np.append(start[1:], len(order))
 
-    def matches(self, hashes: np.ndarray, first: np.ndarray, base: Base, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-        """(first word of each match, place in the index), by hashes."""
+    def matches(self, hashes: np.ndarray, first: np.ndarray, base: Base, lookup: Lookup) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first word of each match, place in the index), by hashes; ``CANDIDATES`` at a time, a word's at least."""
         at, place = lookup.find(hashes)
-        n = (self.end - self.start)[place]
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[place], n)
-        at = np.repeat(at, n)
-        begin, end = at - self.offset[entry], at - self.offset[entry] + self.size[entry]
-        row = np.searchsorted(first, at, "right") - 1
-        fits = (begin >= first[row]) & (end <= first[row + 1])
-        begin, end, entry = begin[fits], end[fits], entry[fits]
-        same = base.spans(base.sums(hashes), begin, end) == self.hash[entry] if len(begin) else np.zeros(0, bool)
-        return begin[same], entry[same]
+        count = (self.end - self.start)[place]
+        filled = np.cumsum(count)
+        sums = base.sums(hashes)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(filled, (filled[a - 1] if a else 0) + CANDIDATES, "right")))
+            n = count[a:b]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[place[a:b]], n)
+            word = np.repeat(at[a:b], n)
+            a = b
+            begin = word - self.offset[entry]
+            end = begin + self.size[entry]
+            row = np.searchsorted(first, word, "right") - 1
+            fits = (begin >= first[row]) & (end <= first[row + 1])
+            begin, end, entry = begin[fits], end[fits], entry[fits]
+            if len(begin):
+                same = base.spans(sums, begin, end) == self.hash[entry]
+                yield begin[same], entry[same]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,19 +165,19 @@ def _matcher(index):
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
                 starts, ends, first = ALNUM_WORDS.cut(data, offs)
-                begin, entry = ix.matches(ALNUM_WORDS.hashes(data, starts, ends), first, WINDOW_BASE, lookup)
                 spans, items = part.column("spans").to_pylist(), [set(x) for x in part.column("items").to_pylist()]
                 spans = [[(s["a"], s["b"]) for s in x] for x in spans]
-                row = np.searchsorted(first, begin, "right") - 1
-                touched = set()
-                for b, e, r in zip(begin.tolist(), entry.tolist(), row.tolist(), strict=True):
-                    w, n = int(ix.window[e]), int(ix.size[e])
-                    if b" ".join(words(data[starts[b] : ends[b + n - 1]].tobytes())) == ix.texts[w]:
-                        spans[r].append((b - int(first[r]), b - int(first[r]) + n))
-                        items[r].update(ix.items[w])
-                        touched.add(r)
-                for r in touched:
-                    spans[r] = merged(spans[r])
+                for begin, entry in ix.matches(ALNUM_WORDS.hashes(data, starts, ends), first, WINDOW_BASE, lookup):
+                    row = np.searchsorted(first, begin, "right") - 1
+                    touched = set()
+                    for b, e, r in zip(begin.tolist(), entry.tolist(), row.tolist(), strict=True):
+                        w, n = int(ix.window[e]), int(ix.size[e])
+                        if b" ".join(words(data[starts[b] : ends[b + n - 1]].tobytes())) == ix.texts[w]:
+                            spans[r].append((b - int(first[r]), b - int(first[r]) + n))
+                            items[r].update(ix.items[w])
+                            touched.add(r)
+                    for r in touched:
+                        spans[r] = merged(spans[r])
                 columns = {"n_words": pa.array(np.diff(first), pa.int64()), "spans": pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], SPANS), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([columns.get(c, part.column(c)) if c in columns else part.column(c) for c in part.schema.names], part.schema.names)
 
@@ -202,7 +213,7 @@ class _Nothing:
     prefix = np.zeros(1, np.uint64)
 
     def matches(self, hashes, first, base, lookup):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return iter(())
 
 
 def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

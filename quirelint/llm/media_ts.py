@@ -5,9 +5,11 @@ before every random access point, one packetised unit for each ``UNIT`` bytes wi
 timestamp, a clock reference and the random-access flag on every ``RAP_EVERY``-th unit.
 ``read_stream`` takes any transport stream: it follows the program tables, checks section
 checksums and continuity counters, drops repeated packets, reassembles the packetised units of
-every stream and keeps timestamps and random-access points.
+every stream and keeps timestamps and random-access points. A packet starts at a sync byte that recurs one and two
+packets on (as far as there is more); a unit that lost a packet, or is shorter than it says, is counted and not handed out.
 
-Null texts count as empty (192 spaces are stored); repeated rows give equal rows; other columns are not read.
+Null texts count as empty (192 spaces are stored); repeated rows give equal rows; other columns are not read; an empty
+table gives an empty one; a very long text is one stream, held once as text and once as packets.
 """
 
 from __future__ import annotations
@@ -127,34 +129,40 @@ class _Sections:
 
 
 def read_stream(media: bytes) -> dict:
-    """programs: program -> PMT PID; streams: PID -> type; units: (pid, pts, dts, random access, clock, bytes); counts of faults."""
+    """programs: program -> PMT PID; streams: PID -> type; units: (pid, pts, dts, random access, clock, bytes) of whole units; counts of faults."""
     out = {"programs": {}, "streams": {}, "units": [], "cc_errors": 0, "crc_errors": 0, "sync_losses": 0, "repeats": 0, "short_units": 0}
     sections: dict[int, _Sections] = {0: _Sections()}
     last: dict[int, tuple[int, int]] = {}  # counter and place of the last packet with payload
     open_units: dict[int, list] = {}
 
     def close(pid: int) -> None:
-        rap, pcr, parts = open_units.pop(pid)
+        rap, pcr, parts, whole = open_units.pop(pid)
         data = b"".join(parts)
         if len(data) < 9 or data[:3] != b"\0\0\1":
             out["short_units"] += 1
             return
         size, flags, head = data[4] << 8 | data[5], data[7] >> 6, 9 + data[8]
         body = data[head : 6 + size] if size else data[head:]
-        if size and len(data) < 6 + size:
+        if not whole or size and len(data) < 6 + size:
             out["short_units"] += 1
+            return
         pts = _stamp_at(data, 9) if flags & 2 and head >= 14 else None
         dts = _stamp_at(data, 14) if flags == 3 and head >= 19 else pts
         out["units"].append((pid, pts, dts, rap, pcr, body))
 
-    at, n = 0, len(media)
+    def in_step(at: int) -> bool:
+        return all(at + k >= n or media[at + k] == SYNC for k in (0, PACKET, 2 * PACKET))
+
+    at, n, synced = 0, len(media), False
     while at + PACKET <= n:
-        if media[at] != SYNC:
+        if media[at] != SYNC or not synced and not in_step(at):
             out["sync_losses"] += 1
             at = media.find(bytes([SYNC]), at + 1)
-            if at < 0:
+            while 0 <= at and not in_step(at):
+                at = media.find(bytes([SYNC]), at + 1)
+            if at < 0 or at + PACKET > n:
                 break
-            continue
+        synced = True
         b1, b2, b3 = media[at + 1], media[at + 2], media[at + 3]
         pid, start, pos, rap, pcr, broken = (b1 & 0x1F) << 8 | b2, b1 & 0x40, at + 4, False, None, False
         if b3 & 0x20:
@@ -176,12 +184,14 @@ def read_stream(media: bytes) -> dict:
                 continue
             if cc != (seen[0] + 1 & 15):
                 out["cc_errors"] += 1
+                if pid in open_units:
+                    open_units[pid][3] = False
         last[pid] = (cc, this)
         if pid in out["streams"]:
             if start:
                 if pid in open_units:
                     close(pid)
-                open_units[pid] = [rap, pcr, [media[pos:at]]]
+                open_units[pid] = [rap, pcr, [media[pos:at]], True]
             elif pid in open_units:
                 open_units[pid][2].append(media[pos:at])
         elif pid in sections:

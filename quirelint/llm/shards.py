@@ -3,12 +3,14 @@
 Equal texts form a group that no shard boundary may split. Groups of over a 1024th of all bytes
 (at most 1023 of them) go to the last step as they are. The others are dealt by hash into buckets
 of about ``PER_BUCKET`` groups; in each, differencing packs them into bundles of nearly equal
-size. Differencing over the bundles (``MAX_BUNDLES`` at most, or two a bucket) and the heavy
+size. While there are more than ``MAX_BUNDLES`` bundles, these are dealt into buckets and packed again, so
+the driver gets ``MAX_BUNDLES`` sums at most, whatever the input. Differencing over the bundles and the heavy
 groups then gives the shards, so that many small bundles can offset one heavy group. Only bundle
 sums and heavy groups reach the driver.
 
 Null texts count as empty and share a group with empty ones; repeated rows are rows of their own,
-in the same shard; other columns are not read. Rows with a null id come after the others.
+in the same shard; equal sizes are told apart by the groups' hashes, so a rerun gives the same shards; other columns are not
+read; an empty table gives an empty one; very long texts are only measured and hashed. Rows with a null id come after the others.
 """
 
 from __future__ import annotations
@@ -73,7 +75,16 @@ def _packer(bundles: int):
     return pack
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(groups: DataFrame, count: int, per_bucket: int, most: int) -> tuple[DataFrame, int]:
+    """``groups`` (k1, k2, w) with the bucket and bundle of each, and the number of buckets."""
+    n_buckets = max(1, -(-count // per_bucket))
+    bundles = max(2, min(most // n_buckets, 64))
+    dealt = groups.select("k1", "k2", "w", F.pmod("k1", F.lit(n_buckets)).cast("long").alias("bucket"))
+    out = dealt.groupBy("bucket").applyInPandas(_packer(bundles), "k1 long, k2 long, w long, bucket long, bundle int")
+    return checkpoint(out), n_buckets
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = PER_BUCKET, most: int = MAX_BUNDLES) -> DataFrame:
     """(id, size, text_crc32, shard, slot)."""
     spark = docs.sparkSession
     ship(spark)
@@ -81,19 +92,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *group_key(F.col(text_col)))
     groups = checkpoint(rows.groupBy("k1", "k2").agg(F.sum("size").alias("w")))
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    n_buckets = max(1, -(-count // PER_BUCKET))
-    bundles = max(2, min(MAX_BUNDLES // n_buckets, 64))
     is_heavy = F.col("w") * HEAVY > total
     heavy = sorted(((r.w, r.k1, r.k2) for r in groups.where(is_heavy).collect()), reverse=True)
-    bucket = F.pmod("k1", F.lit(n_buckets)).cast("int")
-    light = groups.where(~is_heavy).withColumn("bucket", bucket)
-    packed = checkpoint(light.groupBy("bucket").applyInPandas(_packer(bundles), "k1 long, k2 long, w long, bucket int, bundle int"))
-    sums = sorted((r.bucket, r.bundle, r.w) for r in packed.groupBy("bucket", "bundle").agg(F.sum("w").alias("w")).collect())
+    levels = [packed(groups.where(~is_heavy), count, per_bucket, most)]
+    while 2 * levels[-1][1] > most:
+        # bundles are the groups of the next level
+        sums = levels[-1][0].groupBy(F.col("bucket").alias("k1"), F.col("bundle").cast("long").alias("k2")).agg(F.sum("w").alias("w"))
+        levels.append(packed(sums, 2 * levels[-1][1], per_bucket, most))
+    top = levels[-1][0]
+    sums = sorted((r.bucket, r.bundle, r.w) for r in top.groupBy("bucket", "bundle").agg(F.sum("w").alias("w")).collect())  # ``most`` rows at most
     parts = differencing([w for w, *_ in heavy] + [w for *_, w in sums], shards)
     of_heavy = spark.createDataFrame([(k1, k2, p) for (_, k1, k2), p in zip(heavy, parts, strict=False)], "k1 long, k2 long, shard int")
-    of_bundle = spark.createDataFrame([(b, c, p) for (b, c, _), p in zip(sums, parts[len(heavy) :], strict=True)], "bucket int, bundle int, shard int")
-    shard = packed.join(F.broadcast(of_bundle), ["bucket", "bundle"]).select("k1", "k2", "shard").unionByName(of_heavy)
-    return number(rows.join(shard, ["k1", "k2"]), id_col, count)
+    shard = spark.createDataFrame([(b, c, p) for (b, c, _), p in zip(sums, parts[len(heavy) :], strict=True)], "bucket long, bundle int, shard int")
+    for level, _ in reversed(levels):
+        below = level.join(shard, ["bucket", "bundle"])
+        shard = below.select(F.col("k1").alias("bucket"), F.col("k2").cast("int").alias("bundle"), "shard") if level is not levels[0][0] else below.select("k1", "k2", "shard")
+    return number(rows.join(shard.unionByName(of_heavy), ["k1", "k2"]), id_col, count)
 
 
 def number(placed: DataFrame, id_col: str, about: int) -> DataFrame:

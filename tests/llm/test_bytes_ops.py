@@ -49,6 +49,14 @@ def test_stream_faults():
     at = 188 * 10
     lost = media_ts.read_stream(whole[:at] + whole[at + 188 :])
     assert lost["cc_errors"] == 1 and lost["short_units"] == 1
+    units = [u[1:] for u in media_ts.read_stream(whole)["units"]]
+    assert [u[1:] for u in lost["units"]] == units[:0] + units[1:]
+    for junk in (b"G", b"Gunk", b"G" * 300, b"junk" + b"G" * 187):
+        found = media_ts.read_stream(junk + whole)
+        assert [u[1:] for u in found["units"]] == units and found["cc_errors"] == 0 and found["sync_losses"] == 1
+    middle = media_ts.read_stream(whole[:at] + b"xG" * 50 + whole[at:])
+    assert b"".join(u[5] for u in middle["units"]) == media_ts.pad(b"z" * 40_000) and middle["sync_losses"] == 1
+    assert media_ts.read_stream(b"")["units"] == [] and media_ts.read_stream(b"G" * 1000)["units"] == []
     twice = media_ts.read_stream(whole[: at + 188] + whole[at : at + 188] + whole[at + 188 :])
     assert twice["repeats"] == 1 and twice["cc_errors"] == 0 and b"".join(u[5] for u in twice["units"]) == media_ts.pad(b"z" * 40_000)
     broken = bytearray(whole)
@@ -250,3 +258,17 @@ def test_differencing():
     sums = [sum(s for s, p in zip(sizes, part, strict=True) if p == k) for k in range(4)]
     assert max(sums) - min(sums) <= 2
     assert shards.differencing([], 4) == [] and shards.differencing([5], 4) == [0]
+
+
+def test_shards_in_levels(spark):
+    """Many buckets, whose bundles are packed again until few sums are left."""
+    rng = __import__("random").Random(4)
+    rows = [(i, "x" * rng.randint(0, 300) + str(i)) for i in range(1500)] + [(5000 + i, "y" * 5000) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, 0, "s") for i, t in rows], "doc_id long, text string, shard int, bucket string")
+    for per_bucket, most, spread in ((50, 65_536, 64), (20, 40, 400)):
+        got = shards.assign(docs, per_bucket=per_bucket, most=most).collect()
+        assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(t) + 1) for i, t in rows)
+        sums = [sum(r.size for r in got if r.shard == k) for k in range(16)]
+        assert len({r.shard for r in got if r.doc_id >= 5000}) == 1 and max(sums) - min(sums) <= spread
+        again = shards.assign(docs.repartition(5), per_bucket=per_bucket, most=most).collect()
+        assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}

@@ -191,6 +191,25 @@ def test_prefix_join(spark):
     assert {r.n_words for r in contam.match(docs.limit(1), bench.where("false")).collect()} == {0}
 
 
+def test_many_candidates_in_little_memory(monkeypatch):
+    """Windows of two words only, that share few prefix words, and a long text of the same words."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    items = sorted({b" ".join(rng.choices([b"0", b"1"], k=10)) for _ in range(3000)})[:1022]
+    index = contam.Index([(w, ["i"]) for w in items], lambda v: np.arange(len(v)))
+    text = b" ".join(rng.choices([b"0", b"1"], k=40_000))
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, first = contam.ALNUM_WORDS.cut(data, np.array([0, len(data)]))
+    hashes = contam.ALNUM_WORDS.hashes(data, starts, ends)
+    tracemalloc.start()
+    found = {(int(b), int(e)) for begin, entry in index.matches(hashes, first, contam.WINDOW_BASE, contam.Lookup(index.prefix)) for b, e in zip(begin, entry, strict=True)}
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    tokens, known = text.split(), set(items)
+    assert {b for b, _ in found} == {p for p in range(len(tokens) - 9) if b" ".join(tokens[p : p + 10]) in known}
+
+
 def test_resampling(spark):
     rng = random.Random(4)
     good, bad = [f"g{i}" for i in range(200)], [f"b{i}" for i in range(30)]
