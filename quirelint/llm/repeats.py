@@ -29,20 +29,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix
+from .common import WINDOW_BASE, Tokens, arrow_map, ship, slices, splitmix
 
 #: bytes of input that a batch has at least and at most, as the planner estimates them; between, a batch grows with the root of the input
 BATCH, LARGEST = 1 << 20, 32 << 20
 #: different runs of an anchor, beyond one a batch, from which its windows are dealt one by one
 HOT = 4000
-#: bytes of runs that a bucket compares at a time, more only for one key
+#: bytes of different runs that a bucket compares at a time, more only for one key
 BLOCK = 1 << 19
+#: symbols hashed at a time
+PIECE = 1 << 16
 BYTE_CODES = splitmix(256, 3)
 
 
 @dataclass
 class Symbols:
-    """What a text's symbols are: bytes, or words if ``tokens`` is set; ``judge`` tells windows that smaller ids have (``Block``)."""
+    """What a text's symbols are: bytes, or words if ``tokens`` is set; ``judge`` tells of each window in a ``Block`` the smallest id that has it."""
 
     length: int
     k: int
@@ -59,7 +61,7 @@ class Symbols:
 
 @dataclass
 class Block:
-    """Runs to compare: their joined bytes (words joined by spaces, a space after each run), the bytes, windows, smallest id of each, and the anchor's place in it."""
+    """Different runs to compare: their joined bytes (words joined by spaces, a space after each run), the bytes, windows, smallest id of each, and the anchor's place in it."""
 
     texts: bytes
     size: np.ndarray
@@ -87,6 +89,15 @@ def hashed(codes: np.ndarray) -> np.ndarray:
     return BYTE_CODES[codes] if codes.dtype == np.uint8 else codes
 
 
+def smallest_of(grams: np.ndarray, w: int) -> np.ndarray:
+    least, size = grams, 1
+    while size < w:
+        step = min(size, w - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return least
+
+
 def anchors_of(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """(smallest of each w neighbours, place of the leftmost such)."""
     least, at, size = grams, np.arange(len(grams), dtype=np.int32), 1
@@ -114,16 +125,28 @@ def find_runs(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> Runs
     if n < length:
         return Runs(*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2)
     sums = WINDOW_BASE.sums(codes)
-    least, at = anchors_of((sums[k:] - sums[:-k]) * WINDOW_BASE.down[: n - k + 1], length - k + 1)
+    grams = (sums[k:] - sums[:-k]) * WINDOW_BASE.down[: n - k + 1]
     row_end = np.repeat(first[1:], np.diff(first))[: n - length + 1]
     ok = np.arange(length, n + 1) <= row_end
-    new = ok.copy()
-    new[1:] &= ~ok[:-1] | (at[1:] != at[:-1])
-    last = ok.copy()
-    last[:-1] &= ~ok[1:] | new[1:]
-    start, stop = np.flatnonzero(new), np.flatnonzero(last)
+
+    def cut(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last windows of neighbours that are equal in ``by``."""
+        new = ok.copy()
+        new[1:] &= ~ok[:-1] | (by[1:] != by[:-1])
+        last = ok.copy()
+        last[:-1] &= ~ok[1:] | new[1:]
+        return np.flatnonzero(new), np.flatnonzero(last)
+
+    w = length - k + 1
+    least = smallest_of(grams, w)
+    start, stop = cut(least)
+    at = (grams[start[:, None] + np.arange(w)] == least[start][:, None]).argmax(1) if len(start) else start
+    if (stop > start + at).any():  # a gram twice in a window: neighbours of one smallest hash have several anchors
+        place = anchors_of(grams, w)[1]
+        start, stop = cut(place)
+        at = place[start] - start
     row = np.searchsorted(first, start, "right") - 1
-    return Runs(row, start - first[row], stop - start + 1, at[start] - start, least[start], WINDOW_BASE.spans(sums, start, stop + length))
+    return Runs(row, start - first[row], stop - start + 1, at, least[start], WINDOW_BASE.spans(sums, start, stop + length))
 
 
 def join_runs(parts: list[Runs]) -> Runs:
@@ -397,21 +420,35 @@ def judged(symbols: Symbols):
         windows_at = np.cumsum(n) - n
         flags = np.zeros(int(n.sum()), bool)
         order = np.argsort(key, kind="stable")
-        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        filled = np.cumsum(size[order])
-        a = 0
-        while a < len(order):
-            # whole keys up to BLOCK bytes, one at least
-            done = filled[a - 1] if a else 0
-            most = np.searchsorted(filled, done + BLOCK, "right")
-            ends = np.append(heads, len(order))
-            b = max(ends[np.searchsorted(ends, most, "right") - 1], ends[np.searchsorted(ends, a, "right")])
-            own = order[a:b]
-            sep = b"" if symbols.tokens is None else b" "
-            joined = b"".join(bytes(texts[s][i : i + k]) + sep for s, i, k in zip(sender[own].tolist(), begin[own].tolist(), size[own].tolist(), strict=True))
-            told = symbols.judge(Block(joined, size[own], n[own], low[own], at[own], symbols.length, symbols.k))
-            flags[np.repeat(windows_at[own], n[own]) + within(n[own])] = told
-            a = b
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])).tolist()
+        sep = b"" if symbols.tokens is None else b" "
+        sender, begin = sender.tolist(), begin.tolist()
+        block: list[tuple[bytes, list[int]]] = []  # different texts, each with its entries
+        held = 0
+
+        def compare() -> None:
+            # of equal texts one is compared, for the smallest id, and every window's smallest id is told to all
+            first = np.array([x[0] for _, x in block])
+            least = np.minimum.reduceat(low[np.concatenate([x for _, x in block])], np.cumsum([0] + [len(x) for _, x in block[:-1]]))
+            smallest = symbols.judge(Block(b"".join(t + sep for t, _ in block), size[first], n[first], least, at[first], symbols.length, symbols.k))
+            offset = np.cumsum(n[first]) - n[first]
+            own = np.concatenate([x for _, x in block])
+            of = np.repeat(np.arange(len(block)), [len(x) for _, x in block])
+            step = within(n[own])
+            flags[np.repeat(windows_at[own], n[own]) + step] = smallest[np.repeat(offset[of], n[own]) + step] < np.repeat(low[own], n[own])
+
+        for a, b in itertools.pairwise([*heads, len(order)]):
+            same: dict[bytes, list[int]] = {}
+            for i, k in zip(order[a:b].tolist(), size[order[a:b]].tolist(), strict=True):
+                same.setdefault(bytes(texts[sender[i]][begin[i] : begin[i] + k]), []).append(i)
+            more = sum(map(len, same))
+            if held and held + more > BLOCK:
+                compare()
+                block, held = [], 0
+            block += same.items()
+            held += more
+        if block:
+            compare()
         sent = np.add.reduceat(n, np.cumsum([0, *counts[:-1]]))
         return _split([flags], sent.tolist())
 

@@ -30,7 +30,7 @@ def _refined(classes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def extend(block: Block) -> np.ndarray:
-    """For each window of each run, in order: whether a run with a smaller ``low`` has it."""
+    """For each window of each run, in order: the smallest ``low`` of a run that has it."""
     numbers: dict[bytes, int] = {}
     words = np.array([numbers.setdefault(w, len(numbers)) for w in block.texts.split(b" ")[:-1]], np.int64)
     count = block.n + block.length - 1
@@ -53,7 +53,7 @@ def extend(block: Block) -> np.ndarray:
         return out
 
     left, right = steps(lambda step: anchor - step), steps(lambda step: anchor + block.k - 1 + step)
-    flags = np.zeros(int(block.n.sum()), bool)
+    out = np.empty(int(block.n.sum()), np.int64)
     offset = np.cumsum(block.n) - block.n
     for step in range(most + 1):
         window = block.at - step
@@ -62,8 +62,8 @@ def extend(block: Block) -> np.ndarray:
             both = _refined(left[step][on], right[most - step][on])
             least = np.full(both.max() + 1, 2**63 - 1)
             np.minimum.at(least, both, block.low[on])
-            flags[offset[on] + window[on]] = least[both] < block.low[on]
-    return flags
+            out[offset[on] + window[on]] = least[both]
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:

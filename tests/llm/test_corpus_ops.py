@@ -91,7 +91,7 @@ def test_nothing_goes_without_the_index(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BATCH", 1 << 8)
     docs = spark.createDataFrame([(i, f"copied {'passage of words ' * 9}") for i in range(40)], "doc_id long, text string")
     assert sum(len(r.spans) for r in suffixes.dedup(docs).collect()) == 39
-    off = repeats.Symbols(50, 25, lambda block: np.zeros(int(block.n.sum()), bool))
+    off = repeats.Symbols(50, 25, lambda block: np.full(int(block.n.sum()), 2**63 - 1))
     one_each = docs.withColumn("doc_id", docs.doc_id * 1)
     entries, n = repeats.deal(one_each, "doc_id", "text")
     alone = entries.groupBy("batch").count().where("count = 1").count()
