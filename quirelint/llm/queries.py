@@ -11,6 +11,7 @@ from .contam import op7_prefix_join
 from .html_main import op5_template_removal
 from .jaccard import op6_signature_trees
 from .media_ts import op1_transport_stream
+from .oracles import SQL
 from .resample import op9_importance_resampling
 from .secrets_scan import op8_secret_spans
 from .shards import op10_differencing_shards
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
