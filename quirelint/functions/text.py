@@ -37,7 +37,7 @@ def is_blank(x: Column | str) -> Column:
 
 def count(x: Column | str, pattern: str) -> Column:
     """How many characters match a one-character class."""
-    return F.length(col(x)) - F.length(F.regexp_replace(col(x), pattern, ""))
+    return F.regexp_count(col(x), F.lit(pattern))
 
 
 def cjk_count(x: Column | str) -> Column:
@@ -48,39 +48,59 @@ def has_cjk(x: Column | str) -> Column:
     return col(x).rlike(CJK_BASIC)
 
 
-def matches(text: Column | str, pattern: str) -> Column:
-    """array<struct<start:int,m:string>> of the pattern's matches, left to right.
+#: code points that are no characters mark where matches begin and end
+BEGIN, END = "\ufdd0", "\ufdd1"
 
-    Matches are bracketed by two control characters (spaces if the text has them), the text is split
-    there, and the pieces' lengths are summed: exact in code points, without Python.
+
+def scan(values: Column, combine) -> Column:
+    """Running combination of an array of numbers, itself first: each round doubles the reach, so n values take n log n steps."""
+    rounds = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+
+    def more(a: Column, reach: Column) -> Column:
+        return F.transform(a, lambda x, i: F.when(i >= reach, combine(x, F.get(a, i - reach))).otherwise(x))
+
+    return F.aggregate(rounds, values, more)
+
+
+def bound(value: Column, fn) -> Column:
+    """fn of a value that is computed once however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def matches(text: Column | str, pattern: str, most: int | None = None) -> Column:
+    """array<struct<start:int,m:string>> of the pattern's matches, left to right; only the first ``most``.
+
+    Matches are bracketed by two marks, the text is split there, and the pieces' lengths are summed: exact
+    in code points, without Python. A text that holds the marks themselves is matched with U+FFFD for them.
     """
-    marked = F.regexp_replace(F.translate(col(text), "\x01\x02", "  "), pattern, "\x01$0\x02")
-    pieces = F.split(marked, "\x01", -1)
-    start = F.named_struct(F.lit("at"), F.length(pieces[0]), F.lit("out"), F.array().cast("array<struct<start:int,m:string>>"))
+    marked = F.regexp_replace(F.translate(col(text), BEGIN + END, "\ufffd\ufffd"), pattern, f"{BEGIN}$0{END}")
+    pieces = F.split(marked, BEGIN, -1 if most is None else most + 2)
 
-    def add(acc: Column, piece: Column) -> Column:
-        found = F.named_struct(F.lit("start"), acc["at"], F.lit("m"), F.substring_index(piece, "\x02", 1))
-        return F.named_struct(F.lit("at"), acc["at"] + F.length(piece) - 1, F.lit("out"), F.concat(acc["out"], F.array(found)))
+    def located(pieces: Column) -> Column:
+        n = F.size(pieces) - 1 if most is None else F.least(F.size(pieces) - 1, F.lit(most))
+        lengths = F.transform(F.slice(pieces, F.lit(1), n), lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+        found = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.substring_index(p, END, 1))
+        return F.zip_with(scan(lengths, lambda x, y: x + y), found, lambda at, m: F.named_struct(F.lit("start"), at, F.lit("m"), m))
 
-    return F.when(col(text).isNotNull(), F.aggregate(F.slice(pieces, 2, 1 << 30), start, add, lambda acc: acc["out"]))
+    return F.when(col(text).isNotNull(), bound(pieces, located))
 
 
 def parenthesis_ranges(text: Column | str) -> Column:
-    """array<struct<a:int,b:int>>: each opening one with the first closing one after it that is still free."""
-    both = F.named_struct(F.lit("opens"), matches(text, OPEN_PARENTHESIS)["start"], F.lit("closes"), matches(text, CLOSE_PARENTHESIS)["start"])
+    """array<struct<a:int,b:int>>: each opening one with the first closing one after it that is still free.
 
-    def pair(x: Column) -> Column:
-        none = F.named_struct(F.lit("used"), F.lit(-1), F.lit("out"), F.array().cast("array<struct<a:int,b:int>>"))
-
-        def add(acc: Column, a: Column) -> Column:
-            b = F.get(F.filter(x["closes"], lambda c: (c > a) & (c > acc["used"])), F.lit(0))
-            added = F.named_struct(F.lit("used"), b, F.lit("out"), F.concat(acc["out"], F.array(F.named_struct(F.lit("a"), a, F.lit("b"), b))))
-            return F.when(b.isNull(), acc).otherwise(added)
+    The i-th opening one takes the closing one of number i + the greatest surplus of closing ones before an opening one so far.
+    """
+    def pair(found: Column) -> Column:
+        closes = F.transform(found, lambda x: x["m"].rlike(CLOSE_PARENTHESIS).cast("int"))
+        before = F.zip_with(found, scan(closes, lambda x, y: x + y), lambda x, n: F.named_struct(F.lit("at"), x["start"], F.lit("closes"), x["m"].rlike(CLOSE_PARENTHESIS), F.lit("n"), n))
+        return bound(before, join)
 
-        return F.aggregate(x["opens"], none, add, lambda acc: acc["out"])
+    def join(events: Column) -> Column:
+        opens, closes = F.filter(events, lambda x: ~x["closes"]), F.filter(events, lambda x: x["closes"])["at"]
+        surplus = scan(F.transform(opens, lambda x, i: x["n"] - i), lambda x, y: F.greatest(x, y))
+        return bound(closes, lambda ends: F.filter(F.zip_with(opens, F.transform(surplus, lambda x, i: F.get(ends, x + i)), lambda x, b: F.named_struct(F.lit("a"), x["at"], F.lit("b"), b)), lambda r: r["b"].isNotNull()))
 
-    # an array of one binds both lists, so that neither is found again for each pair
-    return F.transform(F.array(both), pair)[0]
+    return bound(matches(text, f"{OPEN_PARENTHESIS[:-1]}{CLOSE_PARENTHESIS[1:]}"), pair)
 
 
 def before(text: Column | str, at: Column, n: int) -> Column:

@@ -62,9 +62,8 @@ def _pages(t: Tables) -> DataFrame:
 
 def mixed_matches(text: str, pattern: str, radius: int):
     """struct(n, contexts and parts of the first five matches)."""
-    found = matches(text, pattern)
-    first = F.slice(found, 1, 5)
-    return F.struct(F.size(found).alias("n"), F.transform(first, lambda x: window(text, x["start"], x["start"] + F.length(x["m"]), radius)).alias("contexts"), first["m"].alias("parts"))
+    first = matches(text, pattern, 5)
+    return F.struct(F.regexp_count(text, F.lit(pattern)).alias("n"), F.transform(first, lambda x: window(text, x["start"], x["start"] + F.length(x["m"]), radius)).alias("contexts"), first["m"].alias("parts"))
 
 
 def mixed_formatting(t: Tables, c: Config) -> DataFrame:
