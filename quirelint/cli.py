@@ -12,12 +12,13 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quirelint import repair, sinks
-from quirelint.operators.findings import ordered, type_counts
+from quirelint.operators.findings import type_counts
 from quirelint.plans.audit import audit
 from quirelint.plans.rules import configure, parse_rules
-from quirelint.sources import files, vocabulary
+from quirelint.sources import files, service, vocabulary
 
 REPORTS = {".html", ".json"}
 
@@ -34,6 +35,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     a.add_argument("--format", choices=files.SUPPORTED, help="only files of this extension")
     a.add_argument("--fix", action="store_true", help="write repaired copies as <stem>_fixed")
     a.add_argument("--fix-type", choices=repair.KINDS, action="append")
+    a.add_argument("--dictionary", help="words, one a line: turns spelling on")
+    a.add_argument("--service-jar", help="starts the grammar service from a jar if none answers")
+    a.add_argument("--one-plan", action="store_true", help="all checks in one plan; a check that fails then stops the audit")
     commands.add_parser("doctor")
     return parser.parse_args(argv if argv[:1] and argv[0] in ("audit", "doctor", "-h", "--help") else ["audit", *argv])
 
@@ -57,16 +61,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("quirelint").getOrCreate()
     found = files.scan(spark, args.path, (args.format,) if args.format else files.SUPPORTED) if Path(args.path).is_dir() else spark.read.format("binaryFile").load(args.path)
     tables = files.from_nested(files.parse(found).persist())
-    failed = tables.errors.collect()
-    for r in failed:
+    failed = 0
+    for r in tables.errors.toLocalIterator():
         print(f"{r.source_path}: {r.error}", file=sys.stderr)
+        failed += 1
     n = tables.documents.count()
     if not n and not failed:
         print("no documents", file=sys.stderr)
         return 1
     rules = parse_rules(Path(args.rules).read_text(encoding="utf-8")) if Path(args.rules).exists() else []
     config = vocabulary.load(args.glossary, args.vocab)
-    out = audit(tables, rules, config).persist()
+    dictionary = spark.read.text(args.dictionary).toDF("word") if args.dictionary else None
+    post = service.choose(configure(rules, config).service_url, args.service_jar)
+    out = audit(tables, rules, config, dictionary, post=post, isolate=not args.one_plan, on_progress=lambda name, i, n: print(f"[{i}/{n}] {name}", file=sys.stderr)).persist()
     for r in sinks.summary(out).collect():
         print(f"[{sinks.LABELS[r.severity]}] {r.rule_id or ''} {r.location or ''} {r.message}")
     print(", ".join(f"{r.type}: {r.n}" for r in type_counts(out).orderBy("type").collect()))
@@ -75,15 +82,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             path = Path(r.path.removeprefix("file:"))
             path.with_name(f"{path.stem}_fixed{path.suffix}").write_bytes(bytes(r.content))
     if output:
-        reports = sinks.json_reports(tables, out).orderBy("doc_id")
-        for i, r in enumerate(reports.toLocalIterator()):
-            target = sinks.numbered_name(str(output), i, n)
-            if output.suffix == ".json":
-                sinks.write_atomically(target, r.report)
-            else:
-                rows = [x.asDict() for x in ordered(out.where(out.doc_id == r.doc_id)).collect()]  # one document's findings
-                sinks.write_atomically(target, sinks.html_report("审查报告", rows, None, r.doc_id))
-    return sinks.exit_status(out, len(failed))
+        reports = sinks.json_reports(tables, out).select("doc_id", "report")
+        if output.suffix == ".html":
+            rendered = sinks.html_reports(out).withColumnRenamed("report", "page")
+            reports = reports.join(rendered, "doc_id", "left").select("doc_id", F.coalesce("page", F.lit(sinks.html_report("审查报告", []))).alias("report"))
+        for i, r in enumerate(reports.orderBy("doc_id").toLocalIterator()):  # a report at a time: they go to one folder of this machine
+            sinks.write_atomically(sinks.numbered_name(str(output), i, n), r.report)
+    return sinks.exit_status(out, failed)
 
 
 if __name__ == "__main__":

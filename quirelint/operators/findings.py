@@ -13,8 +13,6 @@ from quirelint.functions.text import dedup_key
 SCHEMA = "doc_id string, type string, severity string, message string, rule_id string, page_index int, element_index int, context string, suggestion string, location string, metadata string, seq array<int>"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 SEVERITIES = ("error", "warning", "info")
-#: what makes two findings the same in comparisons: everything but ids
-COMPARED = ["type", "severity", "message", "rule_id", "page_index", "context", "suggestion", "location"]
 
 
 def page_label(number: Column | str = "page_number") -> Column:
@@ -48,12 +46,25 @@ def with_key(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, order: str = "seq") -> DataFrame:
     """One finding a document and key: the gravest, of those the first. ``place`` is where its key came first.
 
-    Equal findings that repeat without end (one rule, one page) are first reduced by a map-side aggregate.
+    Equal findings that repeat without end (one rule, one page) are first reduced by a map-side aggregate. The rule is part of the
+    key and a grouping column too, so a filter on rules reaches the checks and leaves the others out of the plan.
     """
+    rest = [c for c in df.columns if c not in ("doc_id", "rule_id")]
     first = with_key(df).withColumn("grave", -rank())
-    rest = [c for c in df.columns if c not in ("doc_id", order)]
-    best = first.groupBy("doc_id", "dedup_key").agg(F.min(F.struct("grave", order, *rest)).alias("x"), F.min(order).alias("place"))
-    return best.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in [*rest, order]), "dedup_key", "place")
+    best = first.groupBy("doc_id", "rule_id", "dedup_key").agg(F.min_by(F.struct(*rest), F.struct("grave", order)).alias("x"), F.min(order).alias("place"))
+    return best.select("doc_id", *(F.col("rule_id") if c == "rule_id" else F.col(f"x.{c}").alias(c) for c in df.columns if c not in ("doc_id", order)), F.col(f"x.{order}").alias(order), "dedup_key", "place")
+
+
+def exempted(*parts: DataFrame) -> DataFrame:
+    """All exempt (doc_id, dedup_key), each once."""
+    return reduce(DataFrame.unionByName, (p.select("doc_id", "dedup_key") for p in parts)).distinct()
+
+
+def same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Findings of either that the other doesn't have as often, ids and order aside: (columns compared, missing: how many more ``a`` has)."""
+    compared = ["doc_id", "type", "severity", "message", "rule_id", "page_index", "context", "suggestion", "location"]
+    counted = a.select(*compared, F.lit(1).alias("n")).unionByName(b.select(*compared, F.lit(-1).alias("n"))).groupBy(*compared).agg(F.sum("n").alias("missing"))
+    return counted.where("missing <> 0")
 
 
 def filtered(df: DataFrame, severities: list[str] | None = None, types: list[str] | None = None, without_rules: list[str] | None = None, without_pages: list[int] | None = None, exempt: DataFrame | None = None) -> DataFrame:
@@ -77,6 +88,12 @@ def severity_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count("*").alias("total"))
 
 
+def batch_totals(pages: DataFrame, df: DataFrame) -> DataFrame:
+    """One row for a batch: (documents, pages, findings by severity, total)."""
+    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))
+    return sizes.crossJoin(severity_counts(df))  # a row by a row
+
+
 def type_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, "type").agg(F.count("*").alias("n"))
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quirelint.model import Tables
 from quirelint.operators import factual, formatting, language, patterns, structure
-from quirelint.operators.findings import deduplicate, findings, union
+from quirelint.operators.findings import COLUMNS, deduplicate, findings, union
 from quirelint.plans.rules import Config, Rule, configure
+from quirelint.sources.service import Post, service_findings
 
 Check = Callable[[Tables, Config], DataFrame]
 
@@ -54,6 +55,18 @@ NATIVE: list[Check] = [
 LANGUAGE: list[Check] = [language.glossary_terms, language.mixed_formatting, language.rejected_words]
 
 
+def check_registry(t: Tables) -> list[str]:
+    """What is wrong with the registry: a check that can't be called so, or gives no findings; ``t`` may be empty."""
+    wrong = []
+    for name, entry in REGISTRY.items():
+        try:
+            if entry.check(t, Config()).columns != COLUMNS:
+                wrong.append(f"{name}: {entry.check.__name__} gives no findings")
+        except Exception as e:  # whatever it raises is what is reported
+            wrong.append(f"{name}: {type(e).__name__}: {e}")
+    return wrong
+
+
 def _system_error(t: Tables, message: str, context: str, suggestion: str, **metadata: str) -> DataFrame:
     details = F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in metadata.items())))
     return findings(t.documents, "custom", "error", "SYS-ERROR", F.lit(message), context=F.lit(context[:120]), suggestion=F.lit(suggestion), location=F.lit("系统"), metadata=details)
@@ -82,23 +95,48 @@ def rule_findings(t: Tables, rule: Rule, c: Config, parity: bool = True) -> Data
     return out.withColumn("severity", F.lit(severity))
 
 
-def audit(t: Tables, rules: list[Rule], config: Config | None = None, dictionary: DataFrame | None = None, parity: bool = True) -> DataFrame:
+def _name(check: Check) -> str:
+    return getattr(check, "__name__", "check").strip("<>")
+
+
+def language_checks(dictionary: DataFrame | None = None, post: Post | None = None) -> list[Check]:
+    """The tier of language checks: a grammar service (``post``), or Chinese grammar here and, with a dictionary, English spelling."""
+    if post is not None:
+        return [lambda t, c: service_findings(t, c, post)]
+    return [lambda t, c: language.spelling(t, c, dictionary)] * (dictionary is not None) + [language.chinese_grammar]
+
+
+def audit(
+    t: Tables, rules: list[Rule], config: Config | None = None, dictionary: DataFrame | None = None, parity: bool = True, post: Post | None = None, isolate: bool = False, on_progress: Callable[[str, int, int], None] | None = None,
+) -> DataFrame:
     """All findings, de-duplicated: (findings columns, dedup_key, place).
 
-    config gives vocabulary and glossary (``sources.vocabulary``); the rules override its settings. With a dictionary
-    (word), Chinese grammar and English spelling are checked too. A rule that can't be planned becomes a SYS-ERROR finding.
+    config gives vocabulary and glossary (``sources.vocabulary``); the rules override its settings. A check that can't be
+    planned becomes a SYS-ERROR finding. So does, with ``isolate``, one that fails while it runs: each is then run
+    by itself and persisted, where otherwise the whole audit is one plan. ``on_progress`` is told (name, number, of how many) before
+    each check.
     """
     c = configure(rules, config)
-    parts = [check(t, c) for check in NATIVE]
-    if dictionary is not None:
-        parts += [language.spelling(t, c, dictionary), language.chinese_grammar(t, c)]
-    parts += [check(t, c) for check in LANGUAGE]
-    for rule in rules:
+    steps: list[tuple[str, Callable[[], DataFrame | None]]] = [(_name(check), lambda check=check: check(t, c)) for check in [*NATIVE, *language_checks(dictionary, post), *LANGUAGE]]
+    steps += [(f"规则 '{rule.rule_id}'", lambda rule=rule: rule_findings(t, rule, c, parity)) for rule in rules]
+    parts = []
+    for i, (name, step) in enumerate(steps):
+        if on_progress:
+            on_progress(name, i, len(steps))
+        found = None
         try:
-            found = rule_findings(t, rule, c, parity)
+            found = step()
             if found is not None:
                 found.schema  # noqa: B018  analysis errors show here
-                parts.append(found)
-        except (PySparkException, ValueError, TypeError) as e:
-            parts.append(_system_error(t, f"规则 '{rule.rule_id}' 执行失败: {e}"[:2000], str(e), "请检查文档内容或规则配置", rule_id=rule.rule_id, error=str(e)[:500]))
+                if isolate:
+                    found = found.persist()
+                    found.count()
+        except (Exception if isolate else (PySparkException, ValueError, TypeError)) as e:
+            if found is not None and isolate:
+                found.unpersist()
+            found = _system_error(t, f"{name} 执行失败: {e}"[:2000], str(e), "请检查文档内容或规则配置", check=name, error=str(e)[:500])
+        if found is not None:
+            parts.append(found)
+    if on_progress:
+        on_progress("完成", len(steps), len(steps))
     return deduplicate(union(parts))

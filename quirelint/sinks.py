@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,29 @@ def html_report(title: str, rows: Iterable, page_count: int | None = None, file_
     return f'<!DOCTYPE html><html lang="zh-CN"><head><meta charset="utf-8"><title>{esc(title)}</title><style>{style}</style></head><body><h1>{esc(title)}</h1>{"".join(facts)}{cards}{"".join(items) or "<p>无</p>"}</body></html>'
 
 
+def html_reports(findings: DataFrame, title: str = "审查报告") -> DataFrame:
+    """(doc_id, report) of every document with findings, rendered on the executors; a document's findings are in memory there."""
+    fields = ["severity", "rule_id", "message", "location", "context", "suggestion"]
+    grouped = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "seq", *fields))).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "report": [html_report(title, rows, None, doc) for doc, rows in zip(batch["doc_id"], batch["rows"], strict=True)]})
+
+    return grouped.mapInPandas(run, "doc_id string, report string")
+
+
+META = "struct<meta:struct<version:string,timestamp:string,source_file:string,format:string>,document:struct<title:string,author:string,page_count:int,slide_count:int,word_count:int>,summary:struct<total_findings:bigint,errors:bigint,warnings:bigint,info:bigint,by_type:map<string,bigint>>,findings:array<struct<id:string,type:string,severity:string,message:string,rule_id:string,page_index:int,element_index:int,context:string,suggestion:string,location:string,metadata:string>>>"
+
+
+def read_json(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports (report) as they were written: (source_file, format, title, ... of each document) and its findings in order (source_file, place, fields)."""
+    parsed = reports.select(F.from_json("report", META).alias("x"))
+    documents = parsed.select("x.meta.*", "x.document.*", "x.summary.*")
+    found = parsed.select(F.col("x.meta.source_file").alias("source_file"), F.posexplode("x.findings").alias("place", "f"))
+    return documents, found.select("source_file", "place", "f.*")
+
+
 def write_atomically(path: str, text: str) -> None:
     """Through a file beside it, so that readers never see half of it."""
     target = Path(path)

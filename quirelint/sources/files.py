@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirelint.model import NESTED, Tables, from_nested
-from quirelint.sources import markdown, ooxml
+from quirelint.sources import markdown, ooxml, pdf
 
-#: extension -> parser; legacy binary formats and PDF have none here and become error rows
-PARSERS: dict[str, Callable[[str, bytes], dict]] = {"pptx": ooxml.parse_pptx, "docx": ooxml.parse_docx, "md": markdown.parse, "markdown": markdown.parse, "txt": markdown.parse}
+#: extension -> parser; legacy binary formats have none here and become error rows, as PDF files do where docling isn't installed
+PARSERS: dict[str, Callable[[str, bytes], dict]] = {"pptx": ooxml.parse_pptx, "docx": ooxml.parse_docx, "md": markdown.parse, "markdown": markdown.parse, "txt": markdown.parse, "pdf": pdf.parse}
 SUPPORTED = ("pptx", "ppt", "docx", "doc", "pdf", "md", "markdown", "txt")
 
 
 def register(extension: str, parser: Callable[[str, bytes], dict]) -> None:
-    """Adds or replaces a parser, such as one for PDF: (path, bytes) -> a row of ``model.NESTED``."""
+    """Adds or replaces a parser, (path, bytes) -> a row of ``model.NESTED``."""
     PARSERS[extension.lower()] = parser
 
 

@@ -1,11 +1,16 @@
 """An optional grammar service on this machine: page segments are posted in chunks, its matches become findings.
 
-Off unless called. Requests run on the executors, one task a partition, so the service must run beside each of them.
+``choose`` picks the tier: a service that answers, else one started from a jar, else None for the checks in
+``operators.language``. Requests run on the executors, one task a partition, so the service must run beside each of them.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import subprocess
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -20,6 +25,7 @@ from quirelint.operators.language import segments
 from quirelint.plans.rules import Config
 
 # fixed values: hosts allowed, request size and time limit, severities of issue types, categories left out
+DEFAULT_URL = "http://localhost:8010/v2"
 HOSTS = {"localhost", "127.0.0.1", "::1"}
 CHUNK, TIMEOUT = 15_000, 30
 SEVERITY = {"misspelling": "error", "grammar": "error", "duplication": "warning", "style": "warning", "hint": "info", "typographical": "info"}
@@ -37,6 +43,38 @@ def checked_url(url: str) -> str:
     return url.rstrip("/")
 
 
+def available(url: str) -> bool:
+    """Whether a service answers there."""
+    try:
+        with urllib.request.urlopen(f"{checked_url(url)}/languages", timeout=3) as answer:
+            return answer.status == 200
+    except OSError:
+        return False
+
+
+def start(jar: str, port: int = 8081, wait: int = 30) -> subprocess.Popen | None:
+    """Starts the service of a jar on this machine; None if it doesn't answer in time."""
+    process = subprocess.Popen(["java", "-Xmx1g", "-cp", jar, "org.languagetool.server.HTTPServer", "--port", str(port)], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    for _ in range(wait):
+        if available(f"http://localhost:{port}/v2"):
+            return process
+        if process.poll() is not None:
+            break
+        time.sleep(1)
+    process.kill()
+    return None
+
+
+def choose(url: str | None, jar: str | None = None, port: int = 8081) -> Post | None:
+    """What asks the service, by tier; None: no service."""
+    if available(url or DEFAULT_URL):
+        return http_post(url or DEFAULT_URL)
+    if jar and shutil.which("java") and (process := start(jar, port)):
+        atexit.register(process.kill)
+        return http_post(f"http://localhost:{port}/v2")
+    return None
+
+
 def http_post(url: str) -> Post:
     base = checked_url(url)
 
@@ -73,7 +111,7 @@ def _row(m: dict, accepted: frozenset[str]) -> dict | None:
 
 def service_findings(t: Tables, c: Config, post: Post | None = None) -> DataFrame:
     """Findings of the service named in the configuration (or of ``post``), less words that the vocabulary accepts."""
-    ask, accepted = post or http_post(c.service_url or "http://localhost:8010/v2"), frozenset(c.accepted)
+    ask, accepted = post or http_post(c.service_url or DEFAULT_URL), frozenset(c.accepted)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):

@@ -16,7 +16,7 @@ from quirelint.functions import text as tx
 from quirelint.model import from_nested
 from quirelint.operators import findings, formatting, structure
 from quirelint.plans.audit import REGISTRY, audit
-from quirelint.plans.rules import Config, configure, parse_list, parse_range, parse_rules
+from quirelint.plans.rules import Config, configure, items, bounds, parse_rules
 from quirelint.sources import files, markdown, ooxml, vocabulary
 from quirelint.streaming import audits
 
@@ -58,7 +58,7 @@ def test_rules():
     assert rules[-1].params == {"pattern": "fan-out", "suggestion": '"quoted"'} and rules[-1].category == "terminology"
     c = configure(rules)
     assert (c.max_chars_per_page, c.title_size_range, c.body_size_range, c.min_contrast, c.required_sections) == (5, (20, 30), (10, 18), 4.5, ("概述", "结论"))
-    assert parse_list("[]") == [] and parse_range("nonsense") is None and parse_range("12–22") == (12, 22)
+    assert items("[]") == [] and bounds("nonsense") is None and bounds("12–22") == (12, 22)
     assert len(REGISTRY) == 19
 
 
