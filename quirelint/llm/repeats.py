@@ -155,7 +155,8 @@ def join_runs(parts: list[Runs]) -> Runs:
 
 def batch_runs(rows: pa.RecordBatch, symbols: Symbols) -> Runs:
     parts, at = [find_runs(np.zeros(0, np.uint64), np.zeros(1, np.int64), symbols.length, symbols.k)], 0
-    for part, data, offs in slices(rows, "text"):
+    # whole rows, a longer one alone: where pieces are cut mustn't depend on the order in which a batch's rows arrive
+    for part, data, offs in slices(rows, "text", PIECE):
         r = find_runs(*symbols.codes(data, offs), symbols.length, symbols.k)
         r.row = r.row + at
         parts.append(r)

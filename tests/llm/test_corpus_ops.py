@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from quirelint.llm import contam, html_main, repeats, resample, substrings, suffixes
 
@@ -132,6 +133,20 @@ def test_one_id_is_spread(spark, monkeypatch):
     assert n >= 8 and texts.select("batch").distinct().count() >= 8
 
 
+def test_runs_do_not_depend_on_the_order_of_rows(monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choices(["ab", "c", "def", "g"], k=rng.randint(1, 200)))) for i in range(40)]
+    for symbols in (suffixes.SYMBOLS, repeats.Symbols(20, 8, None, substrings.WORDS)):
+        found = set()
+        for seed in range(4):
+            random.Random(seed).shuffle(rows)
+            batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+            r = repeats.batch_runs(batch, symbols)
+            found.add(tuple(sorted((rows[row][0], *x) for row, *x in zip(r.row, r.start.tolist(), r.n.tolist(), r.at.tolist(), r.content.tolist(), strict=True))))
+        assert len(found) == 1
+
+
 def test_winnowing_covers_every_window(monkeypatch):
     rng = random.Random(6)
     for letters in ("abcdefgh", "ab", "a"):
