@@ -82,7 +82,8 @@ def matches(text: Column | str, pattern: str, most: int | None = None) -> Column
         found = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.substring_index(p, END, 1))
         return F.zip_with(scan(lengths, lambda x, y: x + y), found, lambda at, m: F.named_struct(F.lit("start"), at, F.lit("m"), m))
 
-    return F.when(col(text).isNotNull(), bound(pieces, located))
+    none = F.array().cast("array<struct<start:int,m:string>>")
+    return F.when(col(text).rlike(pattern), bound(pieces, located)).when(col(text).isNotNull(), none)
 
 
 def parenthesis_ranges(text: Column | str) -> Column:

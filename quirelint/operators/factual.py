@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelint.functions.text import before, matches, parenthesis_ranges, strip, window
+from quirelint.functions.text import before, bound, matches, parenthesis_ranges, strip, window
 from quirelint.model import Tables
 from quirelint.operators.findings import findings, page_label
 from quirelint.plans.rules import Config
@@ -61,14 +61,21 @@ def numeric_consistency(t: Tables, c: Config) -> DataFrame:
 def abbreviation_occurrences(t: Tables) -> DataFrame:
     """(doc_id, page_index, page_number, abbr, pos, context, def_site): def_site is the parenthesis that defines, after it or around it."""
     text = F.col("all_text")
-    rows = t.page_text.select("doc_id", "page_index", "page_number", "all_text", matches(text, ABBREVIATION).alias("m")).where(F.size("m") > 0)
-    rows = rows.select("doc_id", "page_index", "page_number", "all_text", parenthesis_ranges(text).alias("ranges"), F.explode("m").alias("x"))
-    pos, end = F.col("x.start"), F.col("x.start") + F.length("x.m")
-    gloss = F.regexp_extract(text.substr(end + 1, F.lit(80)), GLOSS, 0)
-    after = F.when(gloss != "", end + F.instr(gloss, "(") - 1)
-    around = F.get(F.filter("ranges", lambda r: (r["a"] < pos) & (pos < r["b"])), F.lit(0))["a"]
-    rows = rows.where(~F.col("x.m").isin(COMMON_WORDS))
-    return rows.select("doc_id", "page_index", "page_number", F.col("x.m").alias("abbr"), pos.alias("pos"), window("all_text", pos, end, 20).alias("context"), F.coalesce(after, around).alias("def_site"))
+
+    def located(ranges: Column) -> Column:
+        """What a match needs of its page's text and brackets, found once a page and not once a match."""
+
+        def one(x: Column) -> Column:
+            end = x["start"] + F.length(x["m"])
+            gloss = F.regexp_extract(text.substr(end + 1, F.lit(80)), GLOSS, 0)
+            after = F.when(gloss != "", end + F.instr(gloss, "(") - 1)
+            around = F.get(F.filter(ranges, lambda r: (r["a"] < x["start"]) & (x["start"] < r["b"])), F.lit(0))["a"]
+            return F.named_struct(F.lit("abbr"), x["m"], F.lit("pos"), x["start"], F.lit("context"), window("all_text", x["start"], end, 20), F.lit("def_site"), F.coalesce(after, around))
+
+        return F.transform(F.filter(matches(text, ABBREVIATION), lambda x: ~x["m"].isin(COMMON_WORDS)), one)
+
+    rows = t.page_text.where(text.rlike(ABBREVIATION)).select("doc_id", "page_index", "page_number", F.explode(bound(parenthesis_ranges(text), located)).alias("x"))
+    return rows.select("doc_id", "page_index", "page_number", "x.*")
 
 
 def abbreviations(occurrences: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelint.functions.text import CJK_LATIN, LATIN_CHINESE_PUNCTUATION, LATIN_CJK, LONG_ENGLISH_WORD, is_blank, is_technical, language_segments, matches, window
+from quirelint.functions.text import CJK_LATIN, LATIN_CHINESE_PUNCTUATION, LATIN_CJK, LONG_ENGLISH_WORD, bound, is_blank, is_technical, language_segments, matches, window
 from quirelint.model import Tables
 from quirelint.operators.findings import findings, page_label
 from quirelint.plans.rules import Config
@@ -126,17 +126,24 @@ def chinese_grammar(t: Tables, c: Config) -> DataFrame:
     return findings(rows, "language", "error", "PY-ZH-GRAMMAR", message, page=F.col("page_index"), context=context, location=page_label(), metadata=F.to_json(F.struct(F.lit("zh").alias("language"), F.lit("GRAMMAR").alias("category"))), seq=["page_index", "seg", "i", "start"])
 
 
+def _candidates():
+    """The first 100 distinct plain words of a segment, in small letters."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(LONG_ENGLISH_WORD), F.lit(0)), lambda w: ~is_technical(w))
+    return F.slice(F.array_distinct(F.transform(words, F.lower)), 1, MOST_WORDS)
+
+
 def spelling_candidates(t: Tables) -> DataFrame:
     """(doc_id, page_index, page_number, seg, text, word): the first 100 distinct plain words of a segment, in small letters."""
-    words = F.filter(F.regexp_extract_all("text", F.lit(LONG_ENGLISH_WORD), F.lit(0)), lambda w: ~is_technical(w))
-    words = F.slice(F.array_distinct(F.transform(words, F.lower)), 1, MOST_WORDS)
-    return segments(t).where("lang = 'en'").select("doc_id", "page_index", "page_number", "seg", "text", F.explode(words).alias("word"))
+    return segments(t).where("lang = 'en'").select("doc_id", "page_index", "page_number", "seg", "text", F.explode(_candidates()).alias("word"))
 
 
 def spelling(t: Tables, c: Config, dictionary: DataFrame) -> DataFrame:
     """PY-SPELL: words not in ``dictionary`` (word) and not accepted; every whole occurrence is a finding. Up to three words one edit away are named."""
     known = dictionary.select(F.lower("word").alias("word")).distinct()
-    rows = spelling_candidates(t)
+    # every occurrence of a candidate, found once a segment
+    spots = bound(_candidates(), lambda words: F.filter(matches("text", LONG_ENGLISH_WORD), lambda x: F.array_contains(words, F.lower(x["m"]))))
+    spots = F.transform(spots, lambda x: F.named_struct(F.lit("word"), F.lower(x["m"]), F.lit("m"), x["m"], F.lit("start"), x["start"], F.lit("context"), F.substring(window("text", x["start"], x["start"] + F.length(x["m"]), 20), 1, 120)))
+    rows = segments(t).where("lang = 'en'").select("doc_id", "page_index", "page_number", "seg", F.explode(spots).alias("x")).select("doc_id", "page_index", "page_number", "seg", "x.*")
     rows = (rows.where(~F.col("word").isin(list(c.accepted))) if c.accepted else rows).join(known, "word", "left_anti")
     unknown = rows.select("word").distinct()
     # words one edit apart agree when one letter of each is dropped: an equi-join instead of a cross join
@@ -147,10 +154,7 @@ def spelling(t: Tables, c: Config, dictionary: DataFrame) -> DataFrame:
     near = dropped(unknown, "word").join(dropped(known, "right"), "key").where(F.levenshtein("word", "right") <= 2).select("word", "right").distinct()
     near = near.groupBy("word").agg(F.array_join(F.slice(F.array_sort(F.collect_set("right")), 1, 3), ", ").alias("near"))
     rows = rows.join(near, "word", "left")
-    spots = F.filter(matches("text", r"(?U)\b[a-zA-Z]{4,}\b"), lambda x: F.lower(x["m"]) == F.col("word"))
-    rows = rows.select("*", F.explode(spots).alias("x")).select("*", F.col("x.start").alias("start"), F.col("x.m").alias("m"))
-    context = F.substring(window("text", F.col("start"), F.col("start") + F.length("m"), 20), 1, 120)
     return findings(
-        rows, "language", "error", "PY-SPELL", F.format_string("可能的拼写错误: '%s'", "word"), page=F.col("page_index"), context=context, suggestion=F.when(F.col("near").isNotNull(), F.concat(F.lit("建议改为: "), "near")),
+        rows, "language", "error", "PY-SPELL", F.format_string("可能的拼写错误: '%s'", "word"), page=F.col("page_index"), context=F.col("context"), suggestion=F.when(F.col("near").isNotNull(), F.concat(F.lit("建议改为: "), "near")),
         location=page_label(), metadata=F.to_json(F.struct(F.lit("en").alias("language"), F.lit("MISSPELLING").alias("category"))), seq=["page_index", "seg", "start"],
     )

@@ -13,7 +13,7 @@ from quirelint.model import Tables
 from quirelint.operators import factual, findings, formatting, language, structure
 from quirelint.plans.audit import audit
 from quirelint.plans.rules import Config, parse_rules
-from quirelint.repair import one_bullet, without_end_marks
+from quirelint.repair import without_end_marks
 from quirelint.sources import tables
 from quirelint.sources.vocabulary import glossary, rejected
 from quirelint.streaming.audits import windowed_counts
@@ -133,12 +133,6 @@ def fix_title_punctuation(spark, sf_dir):
     return rows.withColumn("fixed", without_end_marks(F.col("title"))).where("fixed <> title").drop("title")
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, regexp_replace(line, '^(\s*)[-*](\s)', '\1•\2') AS fixed FROM lines WHERE regexp_matches(line, '^\s*[-*]\s')""")
-def fix_bullets(spark, sf_dir):
-    rows = tables.documents(spark, sf_dir).paragraphs.select("doc_id", "text", one_bullet(F.col("text")).alias("fixed"))
-    return rows.where("fixed <> text").drop("text")
-
-
 @query(f"""WITH m AS (SELECT doc_id, {MIXED_SQL} AS t FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(t, '([{CJK}])([a-zA-Z0-9])', '\\1 \\2', 'g'), '([a-zA-Z0-9])([{CJK}])', '\\1 \\2', 'g')) AS fixed FROM m""")
 def fix_spacing(spark, sf_dir):
     return tables.load(spark, sf_dir, "documents").select("doc_id", F.md5(tx.space_mixed(mixed())).alias("fixed"))
@@ -199,11 +193,6 @@ def fmt_layout_reuse(spark, sf_dir):
     return formatting.layout_reuse(tables.load(spark, sf_dir, "conversations"), "conv_id", "role", "user")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, '共 ' || CAST(count(*) AS VARCHAR) || ' 页，版式: ' || min(role) AS context, 'info' AS severity FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) = 1 AND min(role) <> ''")
-def str008_single_layout(spark, sf_dir):
-    return structure.layout_variety(tables.decks(spark, sf_dir), CONFIG).select("doc_id", "context", "severity")
-
-
 @query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'STR-001' AS rule_id, '第 1 页 [' || role || ']' AS location FROM conversations WHERE turn = 0 AND NOT contains(role, '标题')")
 def str001_title_slide(spark, sf_dir):
     return structure.title_slide(tables.decks(spark, sf_dir), CONFIG).select("doc_id", "rule_id", "location")
@@ -242,31 +231,6 @@ def con003_first_defined(spark, sf_dir):
     return factual.first_defined(tables.documents(spark, sf_dir), CONFIG).select("doc_id", "message", "suggestion")
 
 
-@query()
-def con003a_defined_never_used(spark, sf_dir):
-    return factual.defined_never_used(tables.documents(spark, sf_dir), CONFIG).select("doc_id", "message")
-
-
-@query()
-def con003b_multiply_defined(spark, sf_dir):
-    return factual.multiply_defined(tables.documents(spark, sf_dir), CONFIG).select("doc_id", "message")
-
-
-@query()
-def con003c_used_before_defined(spark, sf_dir):
-    return factual.used_before_defined(tables.documents(spark, sf_dir), CONFIG).select("doc_id", "message")
-
-
-@query()
-def con001_number_groups(spark, sf_dir):
-    return factual.number_groups(tables.documents(spark, sf_dir)).select("doc_id", "key", "n", "distinct")
-
-
-@query()
-def con001_numeric_consistency(spark, sf_dir):
-    return factual.numeric_consistency(tables.documents(spark, sf_dir), CONFIG).select("doc_id", "page_index", "context", "suggestion")
-
-
 @query(f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(coalesce(text, '')) AS t, unnest({list(SECTIONS)!r}) AS section FROM documents)
 SELECT doc_id, '缺少必须的章节: ' || section AS message, 'error' AS severity FROM s WHERE NOT contains(t, section)""")
 def con002_required_sections(spark, sf_dir):
