@@ -329,11 +329,11 @@ def _parts(batch, marked):
 def _again(marked):
     def run(batches):
         for batch in batches:
-            hosts, pages, gone = zip(*_parts(batch, marked), strict=True) if batch.num_rows else ((), (), ())
-            texts = [" ".join(text for text, e in page.left(g) if not e.out[0]) for page, g in zip(pages, gone, strict=True)]
-            least = least_windows(texts) if texts else np.zeros(0, np.int64)
-            rows = [(host, h, x) for host, hs, x in zip(hosts, gone, least.tolist(), strict=True) for h in hs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "least"])
+            for at in range(0, batch.num_rows, 500):
+                found = [(host, g, " ".join(text for text, e in page.left(g) if not e.out[0])) for host, page, g in _parts(batch.slice(at, 500), marked)]
+                least = least_windows([text for *_, text in found])
+                rows = [(host, h, x) for (host, hs, _), x in zip(found, least.tolist(), strict=True) for h in hs]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "least"])
 
     return run
 
