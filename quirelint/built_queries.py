@@ -19,9 +19,10 @@ from quirelint.model import Tables, from_nested
 from quirelint.operators import factual, findings, formatting, language, structure
 from quirelint.plans.audit import audit, rule_findings
 from quirelint.plans.rules import parse_rules
-from quirelint.queries import CJK, CONFIG, EVENTS, LINES, ORDER, TITLES, event_findings, query
+from quirelint.queries import CJK, CONFIG, EVENTS, LINES, ORDER, TITLES, event_findings, mixed_documents, query
 from quirelint.repair import moves, run_fixes
 from quirelint.sources import files, tables
+from quirelint.sources.vocabulary import glossary
 
 # --- documents built from line items
 
@@ -274,6 +275,42 @@ def chinese(spark: SparkSession, sf_dir: str) -> Tables:
     return replace(t, text=t.text.withColumn("all_text", text))
 
 
+MIXED_BODY = f"d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(replace(body, 'th', '中'), 'er', '，') AS t FROM ({BODY}))"
+
+
+def _mixed_sql() -> str:
+    parts, unions = [MIXED_BODY], []
+    for i, (pattern, (_, _, rule, _, radius)) in enumerate(zip((f"([a-zA-Z0-9])([{CJK}])", f"([{CJK}])([a-zA-Z0-9])", "([a-zA-Z0-9])([，。；：！？])"), language.MIXED, strict=True)):
+        said = "'将「' || substr(m, 2, 1) || '」改为对应的英文标点'" if rule.endswith("3") else "'「' || m || '」→ 「' || substr(m, 1, 1) || ' ' || substr(m, 2, 1) || '」'"
+        parts.append(_places(f"p{i}", pattern))
+        parts.append(f"f{i} AS (SELECT *, substr(t, greatest(pos - {radius}, 0) + 1, pos + 2 + {radius} - greatest(pos - {radius}, 0)) AS around, {said} AS said FROM p{i} WHERE k <= 6)")
+        parts.append(f"s{i} AS (SELECT doc_id, string_agg(said, '; ' ORDER BY k) AS suggestion FROM (SELECT doc_id, said, min(k) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) AS nth FROM f{i} GROUP BY doc_id, said) WHERE nth <= 3 GROUP BY doc_id)")
+        unions.append(f"SELECT doc_id, '{rule}' AS rule_id, c AS context, suggestion FROM (SELECT doc_id, substr(string_agg(around, ' | ' ORDER BY k), 1, 150) AS c FROM f{i} GROUP BY doc_id) JOIN s{i} USING (doc_id)")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(unions)}"
+
+
+@query(_mixed_sql())
+def fmt_mixed_contexts(spark, sf_dir):
+    return language.mixed_formatting(mixed_documents(spark, sf_dir), CONFIG).select("doc_id", "rule_id", "context", "suggestion")
+
+
+NEAR = """
+category: near
+terms:
+  - {pattern: 'of the', preferred: 'by', severity: info}
+  - {pattern: 'and', preferred: 'to', context: also}
+"""
+
+
+@query(rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, body AS t FROM ({BODY})), {_places("p0", "(?i)of the")}, {_places("p1", "(?i)and")},
+a AS (SELECT *, 'info' AS severity, 'by' AS word FROM p0 UNION ALL SELECT *, 'warning', 'to' FROM p1), w AS (SELECT *, substr(t, greatest(pos - 60, 0) + 1, pos + length(m) + 60 - greatest(pos - 60, 0)) AS around FROM a)
+SELECT doc_id, severity, m AS context, word AS suggestion, count(*) AS n FROM w WHERE NOT regexp_matches(around, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || word || '($|[^\p{{L}}\p{{M}}\p{{N}}_])') GROUP BY ALL""")
+def glossary_near(spark, sf_dir):
+    """Wordings without the preferred one within 60 characters."""
+    rows = language.glossary_terms(tables.documents(spark, sf_dir), replace(CONFIG, glossary=tuple(glossary(NEAR))))
+    return rows.groupBy("doc_id", "severity", "context", "suggestion").agg(F.count("*").alias("n"))
+
+
 def _chinese_sql() -> str:
     text = "body"
     for a, b in ZH:
