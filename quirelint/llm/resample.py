@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (single words and punctuation runs, pairs of neighbouring words, and
-a bucket each for runs of four and of eight equal tokens) give the chance that a document holds a bucket: the raw
+Two generative models over hashed n-grams (single words and punctuation runs, the first ``STEM`` bytes of longer words, pairs of
+neighbouring words, and a bucket each for runs of four and of eight equal tokens) give the chance that a document holds a bucket: the raw
 one from all documents, the target one from labelled documents that are good and not toxic. A bucket's log ratio is
 smoothed by one document and shrunk by what speaks for it, so none is cut off at a bar and small tables count too: the
 evidence is the log likelihood by which the target's count differs from the raw rate, plus that by which the labelled
@@ -15,21 +15,23 @@ log weight passes the cut that parts the labelled ones best, a good one lost wei
 
 At most ``LABELS`` labelled documents are used (those of smallest hash, spread over the corpus);
 counts, weights and the sample cover all documents. Null texts count as empty and weigh 0;
-repeated rows get equal keys, and ties at the k-th key all stay; other columns are not read.
-Without labels nothing is known against any document, and all stay.
+repeated rows get equal keys, and ties at the k-th key all stay; rows with a null id have no label; other columns are not read.
+Without labels nothing is known against any document, and all stay; an empty table gives an empty one; very long texts
+are hashed in pieces.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_PUNCT, arrow_map, as_long, checkpoint, mix, slices, table, type_of, windows
 
-ONES, TWOS, LABELS, EVIDENCE, TYPICAL, KEEP, SHARPNESS, RUNS = 1 << 18, 1 << 17, 20_000, 8.5, 256, 10, 10.0, (4, 8)
-BUCKETS = ONES + TWOS + len(RUNS)
+ONES, TWOS, STEMS, STEM, LABELS, EVIDENCE, TYPICAL, KEEP, SHARPNESS, RUNS = 1 << 18, 1 << 17, 1 << 17, 7, 20_000, 8.5, 256, 3, 10.0, (4, 8)
+BUCKETS = ONES + TWOS + STEMS + len(RUNS)
 
 
 def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +48,11 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     runs = [np.flatnonzero(count[r - 1 :] - count[: n - r + 2] == r - 1) if n >= r else np.zeros(0, np.int64) for r in RUNS]
     word = WORD_PUNCT.classes[data[starts]] == 1
     two = word[at] & word[at + 1] & ~equal
-    rows = np.concatenate([row, row[at[two]], *(row[r] for r in runs)])
-    return rows, np.concatenate([(mix(hashes) % np.uint64(ONES)).astype(np.int64), (pairs[two] % np.uint64(TWOS)).astype(np.int64) + ONES, *(np.full(len(r), ONES + TWOS + k) for k, r in enumerate(runs))])
+    long = np.flatnonzero(ends - starts > STEM)
+    stems = mix(WORD_PUNCT.hashes(data, starts[long], starts[long] + STEM))
+    rows = np.concatenate([row, row[at[two]], row[long], *(row[r] for r in runs)])
+    found = (mix(hashes) % np.uint64(ONES)).astype(np.int64), (pairs[two] % np.uint64(TWOS)).astype(np.int64) + ONES, (stems % np.uint64(STEMS)).astype(np.int64) + ONES + TWOS
+    return rows, np.concatenate([*found, *(np.full(len(r), BUCKETS - len(RUNS) + k) for k, r in enumerate(runs))])
 
 
 def _present(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,25 +229,29 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _classified(docs, labels)[0]
 
 
-def _selector(model, least: int, text_col: str, names: list[str]):
+def _selector(model, least: int, place: int):
     def run(batches):
         ratios, *told = model.value
         for batch in batches:
-            for part, data, offs in slices(batch, text_col):
-                order = keys(weights(data, offs, groups(part.column("doc_id"), *told), ratios), part.column("__seed").to_numpy(zero_copy_only=False))
-                yield part.select(names).filter(pa.array(order >= least))
+            for part, data, offs in slices(batch, "text"):
+                inner = part.column("row")
+                ids = pc.struct_field(inner, [place])
+                order = keys(weights(data, offs, groups(ids, *told), ratios), part.column("seed").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([inner.filter(pa.array(order >= least))], ["row"])
 
     return run
 
 
 def keep_best(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that ``classify`` keeps, all columns; weighed once more in the scan rather than joined."""
+    """The rows that ``classify`` keeps, all columns, whatever their names; weighed once more in the scan rather than joined."""
     _, model, least = _classified(docs, labels)
     if least is None:
         return docs
     seed = seeds("doc_id", F.xxhash64(F.coalesce(text_col, F.lit(""))), 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return arrow_map(docs.withColumn("__seed", seed), _selector(shared, least, text_col, docs.columns), docs.schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), seed.alias("seed"))
+    kept = arrow_map(rows, _selector(shared, least, docs.columns.index("doc_id")), rows.select("row").schema)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
