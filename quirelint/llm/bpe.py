@@ -7,7 +7,8 @@ scans agree from there on (a match depends on nothing before it), so the text is
 The pieces between cuts are encoded in parallel and put together in order. A text with two
 neighbours that never meet (one endless run) is encoded whole. Decoding joins the tokens' bytes.
 
-Null texts count as empty and give no ids; repeated rows are encoded one by one; other columns are not read.
+Null texts count as empty and give no ids; repeated rows are encoded one by one; other columns are not read; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, table, type_of
 
-CHUNK, OVERLAP = 1 << 16, 1 << 11
+CHUNK, OVERLAP = 1 << 14, 1 << 10
 
 
 @functools.lru_cache(4)
@@ -132,10 +133,11 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, by name, ``ids`` or ``bytes``."""
     path, pattern = public_vocabulary()
     out = decode(encode(docs, path, pattern), path, pattern)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *more)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,4 @@ def test_pipeline(spark, tmp_path):
     assert whole == sorted(map(str, after)) and len(whole) > 400
     enc = bpe.encoding(*bpe.public_vocabulary())
     assert {r[1] for r in after} == {len(np.array(enc.encode_ordinary(t or ""))) for _, t, *_ in want}
+    assert all(len(r[4]) == 4 * r[1] for r in after)
