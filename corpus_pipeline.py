@@ -6,7 +6,8 @@ go, of each group of near-duplicates the one of smallest id stays (and of rows t
 one of smallest text hash), documents that hold benchmark windows go, secrets in the text are
 replaced by a mark (``n_chars`` follows), and what is left is encoded.
 
-Null and empty texts pass every filter; rows with a null id have no near-duplicates.
+Null and empty texts pass every filter; rows with a null id have no near-duplicates; further columns, whatever their names, go along
+to the last stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelint.llm import bpe, common, contam, jaccard, resample, secrets_scan
@@ -33,9 +33,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if twice.isEmpty():
         return left
     several = left.join(twice, "doc_id", "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = several.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    first = several.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    one = first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(docs)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ids are the tokens, little-endian unsigned 32-bit integers."""
+    return bpe.digest(docs, "ids")
 
 
 STAGES = [
@@ -68,11 +69,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written to the shared checkpoint folder and read again."""
+    """The stages on ``documents``, each written to the shared checkpoint folder and read again.
+
+    A stage's folder is deleted when the next one is written; the last one is the result and stays.
+    """
     common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.delete(spark, f"{folder}/{k - 1}")
     return docs
