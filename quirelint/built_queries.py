@@ -36,23 +36,36 @@ def order_pages(spark: SparkSession, sf_dir: str, text: Column) -> Tables:
 
 
 ITEMS = f"items AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) AS INTEGER) AS page, * FROM lineitem)"
-QUANTITY = F.concat(F.lit("Quantity for "), "l_returnflag", F.lit(" is "), F.floor("l_quantity").cast("string"), F.lit(" kW in total"))
+def quantity() -> Column:
+    return F.concat(F.lit("Quantity for "), "l_returnflag", F.lit(" is "), F.floor("l_quantity").cast("string"), F.lit(" kW in total"))
+
+
 QUANTITIES = f"{ITEMS}, q AS (SELECT doc_id, page, l_returnflag AS flag, CAST(floor(l_quantity) AS INTEGER) AS q FROM items)"
 
 
 @query(f"""WITH {QUANTITIES} SELECT doc_id, 'quantity for ' || lower(flag) || ' is N kw in total' AS key, count(*) AS n, count(DISTINCT q) AS "distinct" FROM q GROUP BY ALL""")
 def con001_number_groups(spark, sf_dir):
-    return factual.number_groups(order_pages(spark, sf_dir, QUANTITY)).select("doc_id", "key", "n", "distinct")
+    return factual.number_groups(order_pages(spark, sf_dir, quantity())).select("doc_id", "key", "n", "distinct")
 
 
 @query(f"""WITH {QUANTITIES} SELECT doc_id, min(page) - 1 AS page_index, 'error' AS severity, 'Quantity for ' || flag || ' is ' || CAST(arg_min(q, page) AS VARCHAR) || ' kW in total' AS context,
 '请确认正确的数值并统一修改:' || chr(10) || string_agg('  - 第 ' || CAST(page AS VARCHAR) || ' 页: ' || CAST(q AS VARCHAR) || ' kW', chr(10) ORDER BY page) AS suggestion FROM q GROUP BY doc_id, flag HAVING count(DISTINCT q) > 1""")
 def con001_numeric_consistency(spark, sf_dir):
-    return factual.numeric_consistency(order_pages(spark, sf_dir, QUANTITY), CONFIG).select("doc_id", "page_index", "severity", "context", "suggestion")
+    return factual.numeric_consistency(order_pages(spark, sf_dir, quantity()), CONFIG).select("doc_id", "page_index", "severity", "context", "suggestion")
+
+
+def by_flag(**texts: str) -> Column:
+    return F.create_map(*(F.lit(x) for kv in texts.items() for x in kv))[F.col("l_returnflag")]
+
+
+def figure() -> Column:
+    return F.concat(F.lit("As "), by_flag(A="Fig. ", N="Table ", R="Figure "), (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("string"), F.lit(" shows"))
+
+
+def caption() -> Column:
+    return F.concat(by_flag(A="Fig. ", N="Figure ", R="图"), F.col("l_linenumber").cast("string"), by_flag(A=": ", N=" - ", R="："), F.lit("what is seen"))
 
 
-MARKS = {"A": "Fig. ", "N": "Table ", "R": "Figure "}
-FIGURE = F.concat(F.lit("As "), F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv))[F.col("l_returnflag")], (F.col("l_linenumber") + F.col("l_partkey") % 2).cast("string"), F.lit(" shows"))
 FIGURES = f"{ITEMS}, f AS (SELECT doc_id, page, CASE l_returnflag WHEN 'N' THEN '表' ELSE '图' END AS kind, CASE l_returnflag WHEN 'A' THEN 'Fig. ' WHEN 'N' THEN 'Table ' ELSE 'Figure ' END AS mark, l_linenumber + l_partkey % 2 AS n FROM items)"
 
 
@@ -61,17 +74,14 @@ SELECT doc_id, page - 1 AS page_index, mark || CAST(n AS VARCHAR) AS context, CA
 WHEN n > previous + 1 THEN kind || '编号不连续: 期望 ' || kind || CAST(previous + 1 AS VARCHAR) || '，实际 ' || mark || CAST(n AS VARCHAR) || '（跳过了 ' || CAST(n - previous - 1 AS VARCHAR) || ' 个编号）'
 ELSE kind || '编号倒退: 期望 ≥ ' || kind || CAST(previous + 1 AS VARCHAR) || '，实际 ' || mark || CAST(n AS VARCHAR) END AS message FROM p WHERE occ > 1 OR n > previous + 1 OR n < previous + 1""")
 def str002_figure_numbering(spark, sf_dir):
-    return structure.figure_numbering(order_pages(spark, sf_dir, FIGURE), CONFIG).select("doc_id", "page_index", "context", "message")
-
-
-CAPTION = F.concat(F.create_map(*(F.lit(x) for x in ("A", "Fig. ", "N", "Figure ", "R", "图")))[F.col("l_returnflag")], F.col("l_linenumber").cast("string"), F.create_map(*(F.lit(x) for x in ("A", ": ", "N", " - ", "R", "：")))[F.col("l_returnflag")], F.lit("what is seen"))
+    return structure.figure_numbering(order_pages(spark, sf_dir, figure()), CONFIG).select("doc_id", "page_index", "context", "message")
 
 
 @query(f"""WITH {ITEMS}, c AS (SELECT doc_id, page, CASE l_returnflag WHEN 'A' THEN 'Fig.N:' WHEN 'N' THEN 'FigureN-' ELSE '图N:' END AS form, CASE l_returnflag WHEN 'A' THEN 'Fig. ' || CAST(l_linenumber AS VARCHAR) || ':' WHEN 'N' THEN 'Figure ' || CAST(l_linenumber AS VARCHAR) || ' -' ELSE '图' || CAST(l_linenumber AS VARCHAR) || '：' END AS m FROM items),
 g AS (SELECT doc_id, form, arg_min(m, page) AS example FROM c GROUP BY ALL)
 SELECT doc_id, '检测到 ' || CAST(count(*) AS VARCHAR) || ' 种不同的图表标题格式: ' || string_agg(form, ', ' ORDER BY form) AS message, string_agg(example, ' | ' ORDER BY form) AS context FROM g GROUP BY doc_id HAVING count(*) >= 2""")
 def str007_caption_format(spark, sf_dir):
-    return structure.caption_format(order_pages(spark, sf_dir, CAPTION), CONFIG).select("doc_id", "message", "context")
+    return structure.caption_format(order_pages(spark, sf_dir, caption()), CONFIG).select("doc_id", "message", "context")
 
 
 # --- abbreviations and brackets

@@ -32,12 +32,14 @@ def strip(x: Column | str) -> Column:
 
 
 def is_blank(x: Column | str) -> Column:
-    return F.coalesce(F.length(strip(x)) == 0, F.lit(True))
+    """Whether nothing but white space is there; stops at the first other character."""
+    return F.coalesce(~col(x).rlike(rf"(?U)[^{_SPACE[1:]}"), F.lit(True))
 
 
 def count(x: Column | str, pattern: str) -> Column:
-    """How many characters match a one-character class."""
-    return F.regexp_count(col(x), F.lit(pattern))
+    """How many characters match a one-character class: what is left when runs of others are taken out."""
+    inside = pattern[1:-1] if pattern.startswith("[") else pattern
+    return F.length(F.regexp_replace(col(x), f"[^{inside}]+", ""))
 
 
 def cjk_count(x: Column | str) -> Column:
@@ -67,23 +69,35 @@ def bound(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def matches(text: Column | str, pattern: str, most: int | None = None) -> Column:
-    """array<struct<start:int,m:string>> of the pattern's matches, left to right; only the first ``most``.
+MATCHES = "array<struct<start:int,m:string>>"
+
+
+def _pieces(text: Column | str, pattern: str) -> Column:
+    """The text split before each match, a mark behind it. A text that holds the marks themselves is matched with U+FFFD for them."""
+    return F.split(F.regexp_replace(F.translate(col(text), BEGIN + END, "\ufffd\ufffd"), pattern, f"{BEGIN}$0{END}"), BEGIN, -1)
+
+
+def _located(pieces: Column) -> Column:
+    n = F.size(pieces) - 1
+    lengths = F.transform(F.slice(pieces, F.lit(1), n), lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+    found = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.substring_index(p, END, 1))
+    return F.zip_with(scan(lengths, lambda x, y: x + y), found, lambda at, m: F.named_struct(F.lit("start"), at, F.lit("m"), m))
+
+
+def matches(text: Column | str, pattern: str) -> Column:
+    """array<struct<start:int,m:string>> of the pattern's matches, left to right.
 
     Matches are bracketed by two marks, the text is split there, and the pieces' lengths are summed: exact
-    in code points, without Python. A text that holds the marks themselves is matched with U+FFFD for them.
+    in code points, without Python.
     """
-    marked = F.regexp_replace(F.translate(col(text), BEGIN + END, "\ufffd\ufffd"), pattern, f"{BEGIN}$0{END}")
-    pieces = F.split(marked, BEGIN, -1 if most is None else most + 2)
+    none = F.array().cast(MATCHES)
+    return F.when(col(text).rlike(pattern), bound(_pieces(text, pattern), _located)).when(col(text).isNotNull(), none)
 
-    def located(pieces: Column) -> Column:
-        n = F.size(pieces) - 1 if most is None else F.least(F.size(pieces) - 1, F.lit(most))
-        lengths = F.transform(F.slice(pieces, F.lit(1), n), lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
-        found = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.substring_index(p, END, 1))
-        return F.zip_with(scan(lengths, lambda x, y: x + y), found, lambda at, m: F.named_struct(F.lit("start"), at, F.lit("m"), m))
 
-    none = F.array().cast("array<struct<start:int,m:string>>")
-    return F.when(col(text).rlike(pattern), bound(pieces, located)).when(col(text).isNotNull(), none)
+def first_matches(text: Column | str, pattern: str, most: int) -> Column:
+    """struct<n:int,found>: how many matches there are, and the first ``most``."""
+    counted = bound(_pieces(text, pattern), lambda pieces: F.named_struct(F.lit("n"), F.size(pieces) - 1, F.lit("found"), bound(F.slice(pieces, 1, most + 1), _located)))
+    return F.when(col(text).rlike(pattern), counted)
 
 
 def parenthesis_ranges(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelint.functions.text import CJK_LATIN, LATIN_CHINESE_PUNCTUATION, LATIN_CJK, LONG_ENGLISH_WORD, bound, is_blank, is_technical, language_segments, matches, window
+from quirelint.functions.text import CJK_LATIN, LATIN_CHINESE_PUNCTUATION, LATIN_CJK, LONG_ENGLISH_WORD, bound, first_matches, is_blank, is_technical, language_segments, matches, window
 from quirelint.model import Tables
 from quirelint.operators.findings import findings, page_label
 from quirelint.plans.rules import Config
@@ -62,8 +62,8 @@ def _pages(t: Tables) -> DataFrame:
 
 def mixed_matches(text: str, pattern: str, radius: int):
     """struct(n, contexts and parts of the first five matches)."""
-    first = matches(text, pattern, 5)
-    return F.struct(F.regexp_count(text, F.lit(pattern)).alias("n"), F.transform(first, lambda x: window(text, x["start"], x["start"] + F.length(x["m"]), radius)).alias("contexts"), first["m"].alias("parts"))
+    around = lambda x: window(text, x["start"], x["start"] + F.length(x["m"]), radius)
+    return bound(first_matches(text, pattern, 5), lambda x: F.named_struct(F.lit("n"), F.coalesce(x["n"], F.lit(0)), F.lit("contexts"), F.transform(x["found"], around), F.lit("parts"), x["found"]["m"]))
 
 
 def mixed_formatting(t: Tables, c: Config) -> DataFrame:

@@ -26,3 +26,12 @@ def test_without_llm(tmp_path):
 def test_nothing_imports_llm():
     files = [p for p in (ROOT / "quirelint").rglob("*.py") if "llm" not in p.parts]
     assert files and not [p for p in files if re.search(r"quirelint\.llm|from \.+llm|corpus_pipeline", p.read_text())]
+
+
+def test_import_without_a_session():
+    """Nothing may need Spark before a query is called."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert SparkContext._active_spark_context is None; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
