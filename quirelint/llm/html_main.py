@@ -34,8 +34,8 @@ from .common import WORD_PUNCT, arrow_map, checkpoint, table, type_of, windows
 
 #: Pages on which a subtree that markup doesn't name has to recur: half of a small host's, ``LEAST`` at least; then MIN_PAGES; then SHARE of the host's. One in an article: IN_ARTICLE of the host's too. One that it names: LEAST_NAMED.
 LEAST, MIN_PAGES, SHARE, IN_ARTICLE, LEAST_NAMED = 3, 10, 0.01, 0.25, 2
-#: More subtrees than these are joined by host rather than broadcast.
-BROADCAST_ROWS = 4_000_000
+#: More subtrees than these are joined by host rather than broadcast; with more hosts than these, all pages are read again.
+BROADCAST_ROWS, BROADCAST_HOSTS = 4_000_000, 200_000
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -362,7 +362,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     if many.isEmpty():
         return named
     marks = Marked(many)
-    there = pages.select("host", "html").join(many.select("host").distinct(), "host", "left_semi")
+    hosts, there = many.select("host").distinct(), pages.select("host", "html")
+    if hosts.count() <= BROADCAST_HOSTS:  # never dealt by host, one of which may hold a third of all pages
+        there = there.join(F.broadcast(hosts), "host", "left_semi")
     again = arrow_map(marks.beside(there), _again(marks.test()), "host string, subtree long, least long")
     return named.unionByName(_distinct(again, "least").join(many, ["host", "subtree"]).where("n >= needed AND 2 * n >= rests").select("host", "subtree"))
 
