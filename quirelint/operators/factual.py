@@ -16,12 +16,11 @@ NUMBER = r"(?U)(\d+(?:\.\d+)?\s*(?:%|nm|μm|kV|°[CF]|cm|mm|mV|mA|kW|MHz|GHz|V|A
 NUMBERED = r"(?iuU)(?:page|slide|fig|figure|table|tab|图|表|第)\s*\.?\s*$"
 GLOSS = r"(?U)^\s*\([^)]+\)"
 # fixed values: capitals that are plain words, not abbreviations
-COMMON_WORDS = """
-OK AM PM GO DO IS IT WE HE MY BY TO IF OR SO NO UP ON IN AT OF AS BE AN ME US
-THE AND FOR ALL BUT NOT CAN ARE WAS HAS HAD NEW SET END TOP ONE TWO VIA MAY ANY NOW OUR USE GET LET SEE WAY
-THAT THIS THAN THEN WITH WHEN FROM HAVE BEEN WILL ALSO USED EACH SOME MORE ONLY VERY JUST WHAT WHICH THEIR THESE WHERE
-WOULD COULD SHOULD THERE ABOUT
-""".split()
+COMMON_WORDS = [
+    "OK", "AM", "PM", "GO", "DO", "IS", "IT", "WE", "HE", "MY", "BY", "TO", "IF", "OR", "SO", "NO", "UP", "ON", "IN", "AT", "OF", "AS", "BE", "AN", "ME", "US", "THE", "AND", "FOR", "ALL", "BUT",
+    "NOT", "CAN", "ARE", "WAS", "HAS", "HAD", "NEW", "SET", "END", "TOP", "ONE", "TWO", "VIA", "MAY", "ANY", "NOW", "OUR", "USE", "GET", "LET", "SEE", "WAY", "THAT", "THIS", "THAN", "THEN", "WITH",
+    "WHEN", "FROM", "HAVE", "BEEN", "WILL", "ALSO", "USED", "EACH", "SOME", "MORE", "ONLY", "VERY", "JUST", "WHAT", "WHICH", "THEIR", "THESE", "WHERE", "WOULD", "COULD", "SHOULD", "THERE", "ABOUT",
+]
 
 
 def numbers(t: Tables) -> DataFrame:
