@@ -366,7 +366,12 @@ def audit_findings(spark, sf_dir):
     return audit(tables.documents(spark, sf_dir), parse_rules(RULES), c).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn, lower(role) AS role, lower(coalesce(text, '')) AS t, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM conversations),
+l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations),
+f AS (SELECT 'STR-001' AS rule_id, 'error' AS severity, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND NOT contains(role, '标题'))
+UNION ALL SELECT 'CON-004', 'error', count(*) FROM (SELECT DISTINCT conv_id, turn FROM p WHERE n < 3 AND len(list_filter(['结论', '小结', '总结', '要点', '关键', '建议', '展望', 'summary', 'conclusion', 'key', 'takeaway', 'recommend'], lambda k: contains(t, k))) = 0 AND len(list_filter(['标题幻灯片', 'title', 'titelfolie', '封面', 'タイトル', 'cover'], lambda k: contains(role, k))) = 0)
+UNION ALL SELECT 'FMT-004', 'warning', count(*) FROM (SELECT DISTINCT conv_id, turn, substr(line, 1, 80) || CASE WHEN length(line) > 80 THEN '...' ELSE '' END FROM l WHERE length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 300))
+SELECT rule_id, CASE WHEN severity = 'error' THEN n ELSE 0 END AS error, CASE WHEN severity = 'warning' THEN n ELSE 0 END AS warning, 0::BIGINT AS info, n AS total FROM f WHERE n > 0""")
 def audit_decks(spark, sf_dir):
     """Conversations as slide decks under the rules for slides."""
     rules = parse_rules("# 结构规则\n## STR-001: t\n- 严重度: error\n- 检查: first_slide_has_title_layout\n## STR-008: l\n- 严重度: info\n- 检查: slide_structure_consistency\n## CON-004: c\n- 严重度: error\n- 检查: every_slide_has_conclusion\n")
