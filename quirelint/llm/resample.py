@@ -107,12 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = (np.ascontiguousarray(known[:, 0]), known[:, 1].astype(bool))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = arrow_map(rows, _counter(sc.broadcast(told), "id"), "bucket long, raw long, target long, other long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "other")))
-    counts, sizes = np.zeros((3, BUCKETS)), (0, 0, 0)
-    for r in counted.collect():  # BUCKETS + 1 rows at most
-        if r.bucket < 0:
-            sizes = (r.raw, r.target, r.other)
-        else:
-            counts[:, r.bucket] = r.raw, r.target, r.other
+    counts = np.zeros((3, BUCKETS + 1))
+    found = counted.toArrow()  # BUCKETS + 1 rows at most, as arrays: objects would take ten times as much
+    at = found.column("bucket").to_numpy()
+    for row, name in zip(counts, ("raw", "target", "other"), strict=True):
+        row[at] = found.column(name).to_numpy()  # the sizes come last, as bucket -1
+    counts, sizes = counts[:, :-1], tuple(counts[:, -1].astype(np.int64).tolist())
     if not sizes[1]:
         return np.zeros((3, BUCKETS)), *told
     out = []
