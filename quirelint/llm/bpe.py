@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, table, type_of
 
-CHUNK, OVERLAP = 1 << 14, 1 << 10
+CHUNK, OVERLAP = 1 << 16, 1 << 11
 
 
 @functools.lru_cache(4)
@@ -106,8 +106,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     pieces = long.join(cuts, "row").select("row", "copies", "text", F.posexplode(F.arrays_zip(froms.alias("a"), tos.alias("b"))).alias("k", "span"))
     pieces = pieces.select("row", "copies", "k", F.col("text").substr((F.col("span.a") + 1).cast("int"), (F.col("span.b") - F.col("span.a")).cast("int")).alias("text"))
     coded = arrow_map(pieces.repartition("row", "k"), _encoder(path, pattern, ["row", "copies", "k"]), f"row struct<id:{kind},h:bigint,n:int>, copies bigint, k int, ids binary")
-    whole = coded.groupBy("row", "copies").agg(F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("x"))
-    whole = whole.select(F.col("row.id").alias("id"), F.unhex(F.array_join(F.col("x.x"), "")).alias("ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    whole = coded.groupBy("row", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
+    whole = whole.select(F.col("row.id").alias("id"), F.unhex(F.array_join(F.transform("x", lambda x: F.hex(x["ids"])), "")).alias("ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return short.unionByName(whole.select("id", "ids")).withColumnRenamed("id", id_col)
 
 
