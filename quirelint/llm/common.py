@@ -49,13 +49,17 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Writes ``df`` to the session's checkpoint folder, so that lost executors cost no recomputation.
 
-    The context's cleaner deletes it when nothing refers to it (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    The context's cleaner deletes it when nothing refers to it (``spark.cleaner.referenceTracking.cleanCheckpoints``). The cleaner learns that when
+    the driver collects its garbage; with ``tidy`` it does so here, which also keeps its heap from growing over a query of many plans.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if tidy:
+        df.sparkSession._jvm.System.gc()
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -47,20 +47,31 @@ def _contracted(batches):
         yield stars()
 
 
-def components(edges: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+def _labelled(batches):
+    """(v, l) of every node of edges that fit one task."""
+    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if parts:
+        nodes, roots = contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["v", "l"])
+
+
+def components(edges: DataFrame, node: str = "node", root: str = "root", most: int = EDGES) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that ``edges`` (a, b: long) link with another.
 
-    Edges are contracted to stars first, ``EDGES`` of a partition at a time, so chains are short. Then each round takes the smallest label of a node
-    and its neighbours, and that label's own label. A hub's rows are pre-aggregated (min) or split as a skewed join.
+    Edges are contracted to stars first, ``EDGES`` of a partition at a time, so chains are short. Up to ``most`` stars are labelled in one task. More
+    take rounds, each of the smallest label of a node and its neighbours, and that label's own label; a hub's rows are pre-aggregated (min) or split as
+    a skewed join. The stars are kept, for a plan that reads ``edges`` twice would run their tasks twice.
     """
-    stars = arrow_map(edges.select("a", "b"), _contracted, "a long, b long")
-    both = checkpoint(stars.union(stars.select("b", "a")).distinct())
+    stars = checkpoint(arrow_map(edges.select("a", "b"), _contracted, "a long, b long"), tidy=True)
+    if stars.count() <= most:
+        return arrow_map(stars.repartition(1), _labelled, "v long, l long").select(F.col("v").alias(node), F.col("l").alias(root))
+    both = checkpoint(stars.union(stars.select("b", "a")).distinct(), tidy=True)
     labels = checkpoint(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
     while True:
         seen = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         near = labels.join(seen, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("v").alias("l"), F.col("l").alias("ll"))
-        new = checkpoint(near.join(jump, "l", "left").select("v", "old", F.coalesce("ll", "l").alias("l")))
+        new = checkpoint(near.join(jump, "l", "left").select("v", "old", F.coalesce("ll", "l").alias("l")), tidy=True)
         if new.where("l <> old").isEmpty():
             return labels.select(F.col("v").alias(node), F.col("l").alias(root))
         labels = new.select("v", "l")

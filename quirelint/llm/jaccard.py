@@ -358,7 +358,7 @@ def _in_blocks(sets: DataFrame, percent: int, max_sets: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", max_sets: int = MAX_SETS) -> DataFrame:
     """(id, n, c1, c2, component): component is the smallest id reachable by links; (c1, c2) the class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    classes = checkpoint(arrow_map(rows, _classes(k), "id long, h long, n long, c1 long, c2 long"))
+    classes = checkpoint(arrow_map(rows, _classes(k), "id long, h long, n long, c1 long, c2 long"), tidy=True)
     texts, n = deal(docs, id_col, text_col)
     sorted_by_bucket = lambda asked: asked.repartition("bucket").sortWithinPartitions("bucket")
     asked = texts.groupBy("batch").applyInArrow(_ask_tokens(k, n), ASK)
@@ -366,11 +366,11 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     asked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_clusters(k, percent, n), ASK)
     clusters = components(arrow_map(sorted_by_bucket(asked), _stars(percent), "a long, b long"), "c1", "cluster")
     reps = classes.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("n").alias("n")).select("c1", "c2", F.col("rep.id").alias("rep"), F.col("rep.h").alias("h"), "n")
-    members = checkpoint(clusters.join(reps, "c1").select("cluster", "rep", "h", "c1", "n"))
+    members = checkpoint(clusters.join(reps, "c1").select("cluster", "rep", "h", "c1", "n"), tidy=True)
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / max_sets), F.ceil(F.sum("n") / MAX_TOKENS)).alias("blocks"))
     batch = place_of(F.col("rep"), F.col("h"), n).alias("batch")
     wanted = members.join(sizes, "cluster").select("cluster", "blocks", "rep", "c1", batch)
-    sets = checkpoint(texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_fetch(k), SETS))
+    sets = checkpoint(texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_fetch(k), SETS), tidy=True)
     packs = max(1, members.count() // 500)
     small = sets.where("blocks <= 1").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
     links = small.groupBy("pack").applyInArrow(_join(percent), "a long, b long")

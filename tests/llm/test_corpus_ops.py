@@ -461,6 +461,25 @@ def test_components(spark):
     assert graph.components(df.where("false")).count() == 0
 
 
+def test_components_read_edges_once_and_by_rounds_too(spark):
+    from quirelint.llm import graph
+
+    pairs = [(i, i + 3) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 7)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame(pairs, "a long, b long").mapInArrow(counted, "a long, b long")
+    one = {r.node: r.root for r in graph.components(edges).collect()}
+    assert seen.value == len(pairs)  # links cost a join: their tasks run once
+    assert one == {r.node: r.root for r in graph.components(edges, most=0).collect()}
+    assert {one[i] for i in (0, 3, 60)} == {0} and one[1] == one[7] == one[200] == 1 and one[102] == 100
+
+
+
 def test_templates_beside_templates(spark):
     """However much else recurs on a page, a footer of three blocks goes; near copies stay."""
     rng = random.Random(9)
