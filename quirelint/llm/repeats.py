@@ -141,8 +141,18 @@ def find_runs(codes: np.ndarray, first: np.ndarray, length: int, k: int) -> Runs
     least = smallest_of(grams, w)
     start, stop = cut(least)
     at = (grams[start[:, None] + np.arange(w)] == least[start][:, None]).argmax(1) if len(start) else start
-    if (stop > start + at).any():  # a gram twice in a window: neighbours of one smallest hash have several anchors
-        place = anchors_of(grams, w)[1]
+    bad = np.flatnonzero(stop > start + at)
+    if len(bad):  # a gram twice in a window: neighbours of one smallest hash have several anchors
+        place = np.zeros(len(ok), np.int64)
+        place[start] = start + at
+        place = place[np.maximum.accumulate(np.where(place > 0, np.arange(len(ok)), 0))]
+        count = stop[bad] - start[bad] + 1
+        size = count + w - 1
+        offset = np.cumsum(size) - size
+        far = start[bad] - offset  # from places in the joined stretches to places in the text
+        found = anchors_of(grams[np.repeat(far, size) + np.arange(size.sum())], w)[1]
+        step = within(count)
+        place[np.repeat(start[bad], count) + step] = found[np.repeat(offset, count) + step] + np.repeat(far, count)
         start, stop = cut(place)
         at = place[start] - start
     row = np.searchsorted(first, start, "right") - 1
@@ -278,7 +288,8 @@ class Entries:
         # an order that doesn't depend on that of the rows
         keys = np.array(key, np.uint64)
         bucket = bucket_of(keys, self.n_buckets) if len(keys) else np.zeros(0, np.int64)
-        order = np.array(sorted(range(len(key)), key=lambda e: (bucket[e], key[e], text_of[e])), np.int64)
+        by_text = np.array(sorted(range(len(key)), key=text_of.__getitem__), np.int64)
+        order = by_text[np.lexsort((keys[by_text], bucket[by_text]))]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.entry, self.bucket, self.key = rank[entry], bucket[order], keys[order]

@@ -42,10 +42,12 @@ def bounded_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     together, bits = (TOGETHER, RANK) if n < 1 << RANK else (2, 32)
     while True:
         order = np.argsort(key)
+        if size >= depth:
+            return order, initial[order]
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.append(np.uint64(1), (ordered[1:] != ordered[:-1]).astype(np.uint64)))
-        if size >= depth or rank[order[-1]] == n:
+        if rank[order[-1]] == n:
             return order, initial[order]
         key = rank << np.uint64(bits * (together - 1))
         for j in range(1, together):

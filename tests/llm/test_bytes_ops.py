@@ -272,3 +272,20 @@ def test_shards_in_levels(spark):
         assert len({r.shard for r in got if r.doc_id >= 5000}) == 1 and max(sums) - min(sums) <= spread
         again = shards.assign(docs.repartition(5), per_bucket=per_bucket, most=most).collect()
         assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_runs_only_stretches_of_repeated_grams_are_searched_again(monkeypatch):
+    import numpy as np
+
+    from quirelint.llm import repeats
+
+    codes = np.random.default_rng(3).integers(32, 127, 20_000).astype(np.uint8)
+    codes[9_000:9_200] = 65
+    searched, whole = [], repeats.anchors_of
+    monkeypatch.setattr(repeats, "anchors_of", lambda grams, w: (searched.append(len(grams)), whole(grams, w))[1])
+    runs = repeats.find_runs(codes, np.array([0, len(codes)]), 50, 20)
+    assert sum(searched) < len(codes) // 4
+    sums = repeats.WINDOW_BASE.sums(repeats.hashed(codes))
+    place = whole((sums[20:] - sums[:-20]) * repeats.WINDOW_BASE.down[: len(codes) - 19], 31)[1]
+    start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    assert runs.start.tolist() == start.tolist() and (runs.start + runs.at).tolist() == place[start].tolist()
